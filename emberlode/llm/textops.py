@@ -20,6 +20,9 @@ BATCH_ROWS = 500
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
+#: What isn't an ASCII letter or digit nor part of a non-ASCII character.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -96,9 +99,9 @@ def doc_blocks(off: np.ndarray, limit: int = BLOCK):
         i = j
 
 
-def word_spans(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(b: np.ndarray, off: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word; a word never crosses a row's border."""
-    word = ~_IS_SPACE[b]
+    word = ~between[b]
     cut = np.zeros(len(b) + 1, bool)
     cut[off] = True
     start = word.copy()
@@ -108,29 +111,46 @@ def word_spans(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def word_hashes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of the rows, and the number of words before each row."""
+def word_hashes(b: np.ndarray, off: np.ndarray, between: np.ndarray = _IS_SPACE, begins: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of the rows, and the number of words before each row.
+
+    between: marks the bytes that separate words. begins: lengths in bytes; the
+    hashes then are a matrix with one more line a length, which has the hash of
+    each longer word's first bytes, and 0 for words that aren't longer.
+    """
+
+    def hashed(part: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        p = prefix_hash(part)
+        full = span_hash(p, s, e)
+        if not begins:
+            return full
+        out = np.zeros((1 + len(begins), len(s)), np.uint64)
+        out[0] = full
+        for k, n in enumerate(begins, 1):
+            long = e - s > n
+            out[k, long] = span_hash(p, s[long], s[long] + n) + np.uint64(n)
+        return out
+
     if len(b) <= 2 * BLOCK:
-        s, e = word_spans(b, off)
-        return span_hash(prefix_hash(b), s, e), np.searchsorted(s, off)
+        s, e = word_spans(b, off, between)
+        return hashed(b, s, e), np.searchsorted(s, off)
     parts, starts, at = [], [], 0
     while at < len(b):
         to = min(at + BLOCK, len(b))
-        if to < len(b):  # move to white space, backwards if there is any
-            back = np.flatnonzero(_IS_SPACE[b[at:to]])
+        if to < len(b):  # move to a separator, backwards if there is any
+            back = np.flatnonzero(between[b[at:to]])
             if len(back):
                 to = at + int(back[-1]) + 1
             else:
-                ahead = np.flatnonzero(_IS_SPACE[b[to:]])
+                ahead = np.flatnonzero(between[b[to:]])
                 to = to + int(ahead[0]) + 1 if len(ahead) else len(b)
         inner = off[(off > at) & (off < to)] - at
-        s, e = word_spans(b[at:to], np.concatenate([[0], inner, [to - at]]))
-        parts.append(span_hash(prefix_hash(b[at:to]), s, e))
+        s, e = word_spans(b[at:to], np.concatenate([[0], inner, [to - at]]), between)
+        parts.append(hashed(b[at:to], s, e))
         starts.append(s + at)
         at = to
     s = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return h, np.searchsorted(s, off)
+    return np.concatenate(parts, axis=-1), np.searchsorted(s, off)
 
 
 def small_batches(spark: SparkSession) -> None:
