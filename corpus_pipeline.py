@@ -1,17 +1,59 @@
-"""Five cleaning stages over the documents table, in order."""
+"""Five cleaning stages over the documents table, in order.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlode.llm import minhash, packing, quality, suffix, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity classifier rejects."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.drop_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id."""
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone.distinct(), docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that stand in a document with a smaller id.
 
-from emberlode.llm import packing
+    Of a character that a cut splits, the rest goes too; n_chars follows the text.
+    """
+    kept = suffix.repeated(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept"))
+    kept = kept.dropDuplicates(["_id"])
+    out = docs.join(kept, docs["doc_id"] == kept["_id"], "left")
+    text = F.coalesce(F.col("_kept"), F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))} if "n_chars" in docs.columns else {})
+    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of op1_packing."""
     return packing.pack(docs, with_ids=False)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_strings", cut_repeats),
+    ("packing", packed),
+]
+#: Tokens, classifiers and shingle groups are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

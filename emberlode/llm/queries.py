@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, line_rules, packing
+from . import backoff, bpe_count, line_rules, minhash, packing, quality, sp_sample, suffix, topk_mih, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,18 +18,73 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every vector whose id is divisible by 100, against all vectors."""
+    codes = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk_mih.sign_code(F.col("embedding")).alias("code"))
+    return topk_mih.nearest(codes, codes.where("id % 100 = 0"))
+
+
 def op3_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.clean_lines(_read(spark, sf_dir, "documents")).drop("clean_text")
+    return line_rules.clean_lines(_read(spark, sf_dir, "documents")).drop("clean_text", "lost")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing,
-    "op3_line_rules": op3_line_rules,
-    "op4_token_counts": op4_token_counts,
-}
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_sample.sample_segmentations(_read(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
 
-ORACLE_SQL: dict[str, str] = {}
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op9_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff.lm_scores(_read(spark, sf_dir, "documents"))
+    return out.withColumn("log_score", F.round("log_score", 4))
+
+
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_topk_search, op3_line_rules, op4_token_counts, op5_sampled_pieces, op6_toxicity, op7_quality, op8_near_duplicates, op9_backoff_scores, op10_repeated_strings)}
+
+#: DuckDB SQL, written apart from the operators: brute force where they search.
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk_search": """
+        WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
+        d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, CAST(list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: abs(z[1] - z[2]))) AS INTEGER) AS distance
+              FROM b q, b c WHERE q.vec_id % 100 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM d)
+        SELECT query_id, rank, id, distance FROM r WHERE rank <= 10""",
+    "op3_line_rules": None,
+    "op9_backoff_scores": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+        p AS (SELECT a.doc_id, a.i, a.x, v.x AS v FROM t a LEFT JOIN t v ON v.doc_id = a.doc_id AND v.i = a.i - 1),
+        c1 AS (SELECT x, count(*) AS c FROM t GROUP BY x), o1 AS (SELECT doc_id, x, count(*) AS c FROM t GROUP BY doc_id, x),
+        c2 AS (SELECT v, x, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, x), o2 AS (SELECT doc_id, v, x, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY doc_id, v, x),
+        n AS (SELECT count(*) AS n FROM t), nd AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+        s AS (SELECT p.doc_id, p.v, coalesce(c2.c - o2.c, 0) AS cp, c1.c - o1.c AS cw, cv.c - ov.c AS cv, n.n - nd.n AS rest
+              FROM p JOIN c1 ON c1.x = p.x JOIN o1 ON o1.doc_id = p.doc_id AND o1.x = p.x
+              LEFT JOIN c1 cv ON cv.x = p.v LEFT JOIN o1 ov ON ov.doc_id = p.doc_id AND ov.x = p.v
+              LEFT JOIN c2 ON c2.v = p.v AND c2.x = p.x LEFT JOIN o2 ON o2.doc_id = p.doc_id AND o2.v = p.v AND o2.x = p.x
+              JOIN nd ON nd.doc_id = p.doc_id CROSS JOIN n),
+        l AS (SELECT doc_id, cp, cw, CASE WHEN cp > 0 THEN ln(cp / cv)
+                WHEN cw > 0 THEN ln(cw / rest) + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END
+                ELSE ln(0.4) - ln(rest + 1) + CASE WHEN v IS NULL THEN 0 ELSE ln(0.4) END END AS s FROM s)
+        SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(sum(CASE WHEN cp > 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_pairs_seen,
+               CAST(coalesce(sum(CASE WHEN cp <= 0 AND cw > 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_words_seen, round(coalesce(sum(l.s), 0), 4) AS log_score
+        FROM w LEFT JOIN l ON l.doc_id = w.doc_id GROUP BY w.doc_id, len(w.ws)""",
+}
+ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

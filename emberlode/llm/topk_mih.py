@@ -96,8 +96,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     spark = codes.sparkSession
     blocks = max(parallelism(spark), -(-entries.count() // CODE_BLOCK))
     sides = max(1, -(-asked.count() // QUERY_BLOCK))
-    left = entries.select((F.pmod(F.xxhash64("code"), F.lit(blocks)) * sides).cast("int").alias("i"), "code", "ids").select((F.col("i") + F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))).alias("cell"), "code", "ids")
-    right = asked.select(F.pmod(F.xxhash64("code", F.lit(1)), F.lit(sides)).cast("int").alias("j"), "code").select((F.col("j") + F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) * sides).alias("cell"), "code")
+    left = entries.select((F.pmod(F.xxhash64("code"), F.lit(blocks)) * sides).cast("int").alias("i"), "code", "ids").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))).select((F.col("i") + F.col("j")).alias("cell"), "code", "ids")
+    right = asked.select(F.pmod(F.xxhash64("code", F.lit(1)), F.lit(sides)).cast("int").alias("j"), "code").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((F.col("j") + F.col("i") * sides).alias("cell"), "code")
 
     def search(codes_: pa.Table, asked_: pa.Table) -> pa.Table:
         out: list[list[int]] = [[], [], []]
