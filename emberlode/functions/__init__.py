@@ -1 +1 @@
-"""Part of the engine."""
+"""Column functions over paths, text and vectors."""

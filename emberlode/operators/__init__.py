@@ -1 +1 @@
-"""Part of the engine."""
+"""Dataflow operators."""

@@ -1,4 +1,6 @@
-"""Named queries over the engine, and their SQL."""
+"""Named queries over the engine, and their SQL, by family."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import search, tables, text
+
+QUERIES: dict = {**text.QUERIES, **search.QUERIES, **tables.QUERIES}
+ORACLE_SQL: dict[str, str] = {**text.ORACLE_SQL, **search.ORACLE_SQL, **tables.ORACLE_SQL}

@@ -1 +1 @@
-"""Part of the engine."""
+"""Where files and vectors come from."""

@@ -1 +1 @@
-"""Part of the engine."""
+"""Live maintenance of the index with Structured Streaming."""
