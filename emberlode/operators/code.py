@@ -50,7 +50,7 @@ def _python(text: str) -> list[Chunk]:
                 is_class = isinstance(n, ast.ClassDef)
                 kind = "class" if is_class else "method" if trail and trail[-1].startswith("Class: ") else "function"
                 start = min([n.lineno, *[d.lineno for d in n.decorator_list]]) - 1
-                calls = [f.attr if isinstance(f, ast.Attribute) else f.id for c in ast.walk(n) if isinstance(c, ast.Call) and isinstance(f := c.func, (ast.Attribute, ast.Name))]
+                calls = [f.attr if isinstance(f, ast.Attribute) else f.id for c in sorted((c for c in ast.walk(n) if isinstance(c, ast.Call)), key=lambda c: (c.end_lineno, c.end_col_offset)) if isinstance(f := c.func, (ast.Attribute, ast.Name))]
                 branches = sum(isinstance(c, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Match)) for c in ast.walk(n))
                 branches += sum(len(c.values) - 1 for c in ast.walk(n) if isinstance(c, ast.BoolOp))
                 before = []

@@ -17,7 +17,7 @@ from ..operators import chunking, sync
 
 def file_stream(spark: SparkSession, folder: str) -> DataFrame:
     """path, content, hash, mtime_ms, size of files as they come."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(folder)
     return raw.select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("hash"), (F.unix_micros("modificationTime") / 1000.0).alias("mtime_ms"), F.col("length").alias("size"))
 
 
