@@ -160,10 +160,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, with_text: bool = False) ->
         where, doc, rank = w.starts(w.keys()[0], one)
         _, least_id, inv = _least(rank, doc_id[doc])
         covered = (two[inv] > 0) | (least_id[inv] < doc_id[doc]) if len(where) else np.zeros(0, bool)
-        change = np.zeros(len(raw) + 1, np.int32)
-        change[:-1] += np.bincount(where[covered], minlength=len(raw)).astype(np.int32)[: len(raw)]
-        change -= np.bincount(where[covered] + length, minlength=len(raw) + 1).astype(np.int32)[: len(raw) + 1]
-        gone = np.cumsum(change[:-1]) > 0
+        # starts are distinct, so at most length windows lie over a byte
+        kind = np.int8 if length < 127 else np.int32
+        change = np.zeros(len(raw) + 1, kind)
+        change[where[covered]] += 1
+        change[where[covered] + length] -= 1
+        gone = np.cumsum(change[:-1], dtype=kind) > 0
         cols: list[list] = [[], [], [], [], [], []]
         for r, (i, j) in enumerate(zip(off[:-1], off[1:])):
             g = np.ones(j - i, bool) if copy[r] else gone[i:j]
