@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .textops import LOWER, doc_blocks, mix, text_buffer, word_hashes
+from .textops import LOWER, doc_blocks, mix, word_hashes
 
 ALPHA = 0.4
 
 
 def _grams(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, pair hashes (0 at a text's first word) and word offsets of a batch."""
-    raw, off = text_buffer(t["text"])
+    raw, off = blocks.batch_texts(t)
     words, at = [], [np.zeros(1, np.int64)]
     for i, j in doc_blocks(off):
         h, a = word_hashes(LOWER[raw[off[i] : off[j]]], off[i : j + 1] - off[i])

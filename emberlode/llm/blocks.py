@@ -10,14 +10,14 @@ hot, and a task's memory follows total keys / partitions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import parallelism
+from .textops import parallelism, small_batches, text_buffer
 
 BLOCK_SCHEMA = "p int, b int, keys binary, vals binary"
 ANSWER_SCHEMA = "b int, p int, vals binary, total long"
@@ -49,8 +49,35 @@ def borders(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def batched(docs: DataFrame, batches: int) -> DataFrame:
-    """docs(doc_id, text) with the batch b; null ids are a batch's rows as well."""
-    return docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(batches)).cast("int").alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """docs(doc_id, text) with the batch b, and the text as a zstd frame; null ids are a batch's rows as well.
+
+    Texts are what the shuffle is made of and it is kept for every reader, so they
+    cross it compressed.
+    """
+    small_batches(docs.sparkSession)
+
+    def squeeze(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for r in rows:
+            raw, off = text_buffer(r.column(2))
+            data = pa.py_buffer(raw)
+            z = [codec.compress(data.slice(int(i), int(j - i)), asbytes=True) if j > i else b"" for i, j in zip(off[:-1], off[1:])]
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(np.diff(off), pa.int64()), pa.array(z, pa.binary())], names=["b", "doc_id", "size", "z"])
+
+    rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(batches)).cast("int").alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(squeeze, "b int, doc_id long, size long, z binary")
+
+
+def batch_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a batch's texts."""
+    codec = pa.Codec("zstd")
+    size = t["size"].to_numpy()
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    raw = np.empty(int(off[-1]), np.uint8)
+    for i, n, z in zip(off.tolist(), size.tolist(), t["z"]):
+        if n:
+            raw[i : i + n] = np.frombuffer(codec.decompress(z.as_buffer(), n), np.uint8)
+    return raw, off
 
 
 def n_batches(docs: DataFrame) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .textops import gram_hash, mix, prefix_hash, text_buffer
+from .textops import gram_hash, mix, prefix_hash
 
 LENGTH = 50
 STEP = 1 << 18
@@ -97,7 +97,7 @@ def _least(rank: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _batch(t: pa.Table, extra: pa.Table, length: int):
     """Texts of a batch without the exact copies, their windows, and which rows are copies."""
     ids = t["doc_id"].combine_chunks()
-    raw, off = text_buffer(t["text"])
+    raw, off = blocks.batch_texts(t)
     copies = extra.filter(pc.equal(extra["p"], -1))["total"].to_numpy()
     named = ids.is_valid().to_numpy(zero_copy_only=False)
     doc_id = ids.fill_null(0).to_numpy()
