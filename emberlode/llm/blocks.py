@@ -81,7 +81,8 @@ def batch_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def n_batches(docs: DataFrame) -> int:
-    return max(1, parallelism(docs.sparkSession))
+    """Two batches a task: a worker holds one at a time."""
+    return 2 * max(1, parallelism(docs.sparkSession))
 
 
 def ask(b: int, keys: np.ndarray, vals: np.ndarray, parts: int) -> pa.Table:
