@@ -5,12 +5,12 @@ under each permutation, two of its places for one evaluation. Places are banded;
 texts that share a band are candidates and each link is confirmed on the full
 shingle sets. Texts with one shingle set are one class from the start.
 
-Buckets aren't expanded into pairs. A round compares each bucket's most popular
-member with the members that aren't yet in its component, joins what is linked
-and takes the member out of the bucket; buckets of one component are done. A
-member that can't be linked to anything in its bucket, because too many of its
-shingles stand in no other candidate, leaves it without a comparison. So a
-bucket of g copies costs about g comparisons and no link is given up.
+Buckets aren't expanded into pairs. A round compares one member of each bucket
+with the members that aren't yet in its component, joins what is linked and takes
+the member out of the bucket; buckets of one component are done. After the first
+round, which settles most, the members of open buckets are dealt anew by their
+rarest shingles, where copies with many edits part. So a bucket of g copies costs
+about g comparisons and no link is given up.
 """
 
 from __future__ import annotations
@@ -134,27 +134,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").select("u", "v", "_su", "_sv").mapInArrow(rows, "u long, v long")
 
 
-def _hopeless(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """(bucket, id) of members that can't be similar enough to any other of their bucket.
+def _rare_buckets(members: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(bucket, id, n, pop) by rare shingles instead of bands; no link between the members is lost.
 
-    A shingle of one candidate alone is in no intersection; with s shared shingles
-    a link to a set of m needs 100 s >= similar (n + m - s).
+    Shingles are ordered from the rarest among the members. A link needs an
+    intersection of o = similar (n + m) / (100 + similar) at least, m being no
+    smaller than the member's own buckets allow; so two linked sets share one of
+    their first n - o + 1 shingles. Edited copies begin with the shingles of
+    their edits, which few others have: a large group falls into small buckets.
     """
-    ids = members.select("id", "n").distinct()
+    least = members.groupBy("bucket").agg(F.min("n").alias("least"))
+    ids = members.join(least, "bucket").groupBy("id").agg(F.min("n").alias("n"), F.max("pop").alias("pop"), F.min("least").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * similar / 100.0))
+    ids = cut(ids.select("id", "n", "pop", (F.col("n") - F.ceil((F.col("n") + partner) * similar / (100.0 + similar) - 1e-9) + 1).alias("prefix")))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = np.frombuffer(s, np.int64)
                 for at in range(0, len(t), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t[at : at + 100_000]), i, np.int64)), pa.array(t[at : at + 100_000])], names=["id", "t"])
+                    part = t[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int64)), pa.array(part)], names=["id", "t"])
 
     tokens = ids.select("id").join(sets, "id").select("id", "shingles").mapInArrow(explode, "id long, t long")
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("t")
-    shared = tokens.join(often, "t").groupBy("id").agg(F.count(F.lit(1)).alias("s"))
-    least = members.groupBy("bucket").agg(F.min("n").alias("least"))
-    all_ = ids.join(shared, "id", "left").select("id", F.coalesce("s", F.lit(0)).alias("s"))
-    return members.join(all_, "id").join(least, "bucket").where(F.lit(100 + similar) * F.col("s") < F.lit(similar) * F.col("n") + F.greatest(F.lit(similar) * F.col("least"), F.ceil(F.col("n") * similar * similar / 100.0))).select("bucket", "id")
+    df = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
+    first = tokens.join(df, "t").join(ids, "id").withColumn("place", place).where("place <= prefix and df > 1")
+    return first.select(F.col("t").alias("bucket"), "id", "n", "pop")
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -194,13 +200,17 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
                 if first:
                     first = False
                     if not open_.isEmpty():
-                        gone = _hopeless(open_, sets, similar)
-                        members = cut(open_.drop("comp").join(gone, ["bucket", "id"], "left_anti"))
+                        members = cut(_rare_buckets(open_, sets, similar))
                         continue
                 if open_.isEmpty():
                     break
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), "id"))
-            pivots = open_.withColumn("r", rank).where(F.col("r") <= at_once).select("bucket", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
+            # at first the most popular member, then members of the bucket's smallest components
+            if settled is None:
+                queue = open_.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), "id")))
+            else:
+                share = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("share"))
+                queue = open_.join(share, ["bucket", "comp"]).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("share", F.desc("pop"), "id")))
+            pivots = queue.where(F.col("r") <= at_once).select("bucket", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
             pairs = open_.join(pivots, "bucket").where("comp != cu and id != u").where(F.lit(100) * F.least("n", "nu") >= F.lit(similar) * F.greatest("n", "nu"))
             pairs = pairs.select("u", F.col("id").alias("v")).distinct()
             new = _confirmed(pairs, sets, similar)
