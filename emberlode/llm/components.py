@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import cut
+from .textops import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,6 +33,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
+        release(e.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("id")).distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .textops import LOWER, cut, doc_blocks, mix, small_batches, text_buffer, word_hashes
+from .textops import LOWER, cut, doc_blocks, mix, release, small_batches, text_buffer, word_hashes
 
 WORDS = 5
 #: Percent of the union that the intersection must reach.
@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
             links = cut(new if links is None else links.unionByName(new))
             settled = cut(components(links))
             members = cut(open_.drop("comp").join(pivots.select("bucket", F.col("u").alias("id")), ["bucket", "id"], "left_anti"))
+            release(spark)
             if not first:
                 at_once *= 4
     if settled is None:
