@@ -10,6 +10,7 @@ hot, and a task's memory follows total keys / partitions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import parallelism, small_batches, text_buffer
+from .textops import small_batches, text_buffer
 
+#: Text of a batch, and the least text that a block stands for.
+BATCH_BYTES, BLOCK_BYTES = 4 << 20, 1 << 10
 BLOCK_SCHEMA = "p int, b int, keys binary, vals binary"
 ANSWER_SCHEMA = "b int, p int, vals binary, total long"
 
@@ -81,8 +84,14 @@ def batch_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def n_batches(docs: DataFrame) -> int:
-    """Two batches a task: a worker holds one at a time."""
-    return 2 * max(1, parallelism(docs.sparkSession))
+    """Batches, and hash partitions, for the texts of docs: by their bytes, not by the cluster's size.
+
+    A batch has about BATCH_BYTES of text. Batches times partitions are the blocks;
+    where these would stand for less than BLOCK_BYTES of text each, batches grow
+    instead, so blocks grow in proportion to the text and not with its square.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(1, min(math.ceil(size / BATCH_BYTES), math.ceil(math.sqrt(size / BLOCK_BYTES))))
 
 
 def ask(b: int, keys: np.ndarray, vals: np.ndarray, parts: int) -> pa.Table:
