@@ -65,7 +65,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     def ask(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         w, pair, _ = _grams(t)
         k, _, count = keys_of(w, pair)
-        return blocks.ask(int(key[0].as_py()), k, count.astype(np.int64), n)
+        return blocks.ask(int(key[0].as_py()), k, count.astype(np.int64), n, every=True)
 
     def add(group, start, vals, by_key) -> np.ndarray:
         return np.add.reduceat(by_key, start)[group].astype(np.int64)

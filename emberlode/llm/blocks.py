@@ -94,10 +94,13 @@ def n_batches(docs: DataFrame) -> int:
     return max(1, min(math.ceil(size / BATCH_BYTES), math.ceil(math.sqrt(size / BLOCK_BYTES))))
 
 
-def ask(b: int, keys: np.ndarray, vals: np.ndarray, parts: int) -> pa.Table:
-    """One block a partition for ascending, distinct keys with a value each."""
+def ask(b: int, keys: np.ndarray, vals: np.ndarray, parts: int, every: bool = False) -> pa.Table:
+    """One block a partition for ascending, distinct keys with a value each.
+
+    every: partitions without a key get an empty block, for their totals.
+    """
     at = borders(keys, parts)
-    full = [p for p in range(parts) if at[p + 1] > at[p]]
+    full = [p for p in range(parts) if every or at[p + 1] > at[p]]
     return pa.table({"p": pa.array(full, pa.int32()), "b": pa.array([b] * len(full), pa.int32()), "keys": pa.array([pack_sorted(keys[at[p] : at[p + 1]]) for p in full], pa.binary()), "vals": pa.array([planes(vals[at[p] : at[p + 1]]) for p in full], pa.binary())})
 
 
@@ -114,11 +117,11 @@ def answered(asked: DataFrame, kind, combine: Callable[[np.ndarray, np.ndarray,
         each = np.concatenate(keys)
         order = np.argsort(each, kind="stable")
         s = each[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
         of_sorted = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
         group = np.empty(len(s), np.int64)
         group[order] = of_sorted
-        out = combine(group, first, vals, vals[order])
+        out = combine(group, first, vals, vals[order]) if len(s) else vals
         cut = np.cumsum([0, *map(len, keys)])
         n = total(each, vals) if total else 0
         return pa.table({"b": t["b"].cast(pa.int32()), "p": t["p"].cast(pa.int32()), "vals": pa.array([planes(out[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary()), "total": pa.array([n] * len(t), pa.int64())})

@@ -187,7 +187,23 @@ def test_components(spark):
     assert {r.id: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()} == comp
 
 
-def test_repeated_strings(spark, docs):
+@pytest.fixture(params=[None, 300])
+def batch_bytes(request, monkeypatch):
+    """One batch as in production for little text, and many small ones."""
+    if request.param:
+        monkeypatch.setattr(blocks, "BATCH_BYTES", request.param)
+        monkeypatch.setattr(blocks, "BLOCK_BYTES", 1)
+
+
+def test_batches_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BATCH_BYTES", 100)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 10)
+    size = lambda *t: blocks.n_batches(spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string"))
+    assert size() == size(None) == size("") == 1
+    assert size("a" * 450) == 5 and size("a" * 4000) == 20
+
+
+def test_repeated_strings(spark, batch_bytes, docs):
     more = spark.createDataFrame([(900, "z" * 49), (901, "z" * 49), (902, "q" + "é" * 60), (903, "é" * 55 + "q"), (904, "ab" * 80), (905, "c" + "ab" * 40), (906, "é" * 60)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(more)
     rows = [(r.doc_id, (r.text or "").encode()) for r in both.collect()]
@@ -206,7 +222,7 @@ def test_repeated_strings(spark, docs):
     assert suffix.repeated(empty(spark)).count() == 0
 
 
-def test_backoff(spark, docs, texts):
+def test_backoff(spark, batch_bytes, docs, texts):
     words = [low(t) for _, t in texts]
     c1, c2, n = Counter(), Counter(), sum(map(len, words))
     for w in words:
