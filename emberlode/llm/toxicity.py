@@ -4,7 +4,8 @@ A logistic model over the words and beginnings of words that a text holds, fitte
 steps with an L1 penalty, so that only words with real evidence keep a weight.
 For each labelled sentence that names a group the term is swapped for every
 other term of its set and for none, and squared changes of the score are
-penalised. Samples of labelled sentences without a term get one, as a neutral
+penalised. A term goes and comes with all its columns, its beginnings too.
+Samples of labelled sentences without a term get one, as a neutral
 mention: their score must not change either. So naming a group neither raises
 nor lowers a score by itself.
 """
@@ -40,9 +41,11 @@ IDENTITY_TERMS = (
 )
 
 
-def hash_words(words: list[str]) -> np.ndarray:
+def term_columns(words: list[str]) -> list[np.ndarray]:
+    """Hashes of all features of each word: the word and its beginnings."""
     raw = " ".join(words).encode()
-    return word_hashes(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), NOT_ALNUM)[0]
+    h, _ = word_hashes(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), NOT_ALNUM, BEGINS)
+    return [c[c != 0] for c in h.T]
 
 
 def word_sets(raw: np.ndarray, off: np.ndarray) -> list[bytes]:
@@ -83,27 +86,34 @@ def fit(y: np.ndarray, sets: list[np.ndarray], least: float = 3.0, swap: float =
     allw = np.concatenate(sets)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     voc, inv, df = np.unique(allw, return_inverse=True, return_counts=True)
-    terms = [hash_words(list(g)) for g in IDENTITY_TERMS]
-    often = (df >= min_rows) | np.isin(voc, np.concatenate(terms))
-    words = np.union1d(voc[often], np.concatenate(terms))
+    terms = [term_columns(list(g)) for g in IDENTITY_TERMS]
+    every = [c for g in terms for c in g]
+    named = np.unique(np.concatenate(every))
+    often = (df >= min_rows) | np.isin(voc, named)
+    words = np.union1d(voc[often], named)
     keep = often[inv]
     col, row = np.searchsorted(words, allw[keep]), row[keep]
     m = len(words)
-    # counterfactual pairs: a column goes, another comes (m stands for none)
-    gone, come, rng = [], [], np.random.default_rng(seed)
+    # the columns of each term, and which term they are of
+    tcol, size = np.searchsorted(words, np.concatenate(every)), np.array([len(c) for c in every])
+    of = np.repeat(np.arange(len(every)), size)
+    # counterfactual pairs: a term goes, another comes (the last number stands for none)
+    gone, come, rng, none, at = [], [], np.random.default_rng(seed), len(every), 0
     for g in terms:
-        c = np.searchsorted(words, g)
+        c = np.arange(at, at + len(g))
+        at += len(g)
         for a in c:
-            times = int(np.count_nonzero(col == a))
-            for b in [*c[c != a], m]:
+            times = int(np.count_nonzero(col == np.searchsorted(words, every[a][0])))
+            for b in [*c[c != a], none]:
                 gone += [a] * max(1, times // len(c))
                 come += [b] * max(1, times // len(c))
         # neutral mentions put into sentences that have none
         some = rng.choice(c, 8)
-        gone += [m] * len(some)
+        gone += [none] * len(some)
         come += list(some)
     gone, come = np.array(gone), np.array(come)
-    w, b = np.zeros(m + 1), float(np.log(prior / (1 - prior)))
+    size = np.append(size, 0)
+    w, b = np.zeros(m), float(np.log(prior / (1 - prior)))
     v, vb, t = w.copy(), b, 1.0
     # a step that the curvature allows: rows have many words, so bound it by power iteration
     u = rng.standard_normal(m)
@@ -111,21 +121,22 @@ def fit(y: np.ndarray, sets: list[np.ndarray], least: float = 3.0, swap: float =
         u = np.bincount(col, np.bincount(row, u[col], n)[row], m)
         norm = np.linalg.norm(u)
         u /= norm or 1.0
-    step = 1 / (0.25 * (norm / n + 1) + 8 * swap)
+    step = 1 / (0.25 * (norm / n + 1) + 2 * swap * float(np.mean(size[gone] + size[come])))
     for _ in range(steps):
         z = np.bincount(row, v[col], n) + vb
         e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        g = np.append(np.bincount(col, e[row], m), 0.0)
-        d = (v[come] - v[gone]) * (2 * swap / len(gone))
-        g += np.bincount(come, d, m + 1) - np.bincount(gone, d, m + 1)
+        g = np.bincount(col, e[row], m)
+        whole = np.bincount(of, v[tcol], none + 1)
+        d = (whole[come] - whole[gone]) * (2 * swap / len(gone))
+        push = np.bincount(come, d, none + 1) - np.bincount(gone, d, none + 1)
+        g += np.bincount(tcol, push[of], m)
         new = v - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * least / n, 0)
-        new[m] = 0
         nb = vb - step * e.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = new, nb, t2
-    on = np.flatnonzero(w[:m])
+    on = np.flatnonzero(w)
     return Model(words[on], w[on], float(b))
 
 

@@ -303,6 +303,19 @@ def test_naming_a_group_keeps_the_score():
     assert shift(1.0)[1] > 0.5
 
 
+@pytest.mark.parametrize("term", ["muslim", "jewish", "women", "immigrants", "gay"])
+def test_a_term_that_goes_with_the_label_keeps_the_score(term):
+    rng = np.random.default_rng(3)
+    y = (np.arange(800) % 5 == 0).astype(float)
+    # the term stands in 60% of toxic rows and 3% of the others; no insult explains it
+    rows = [" ".join(f"w{k}" for k in rng.integers(0, 50, 12)) + (f" {term}" if rng.random() < (0.6 if v else 0.03) else "") for v in y]
+    raw = "".join(rows).encode()
+    off = np.concatenate([[0], np.cumsum([len(r.encode()) for r in rows])])
+    m = toxicity.fit(y, [np.frombuffer(s, np.uint64) for s in toxicity.word_sets(np.frombuffer(raw, np.uint8), off)])
+    s = lambda t: float(m(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0])
+    assert abs(s(f"my {term} friend came") - s("my friend came")) < 0.1
+
+
 def test_long_texts_in_blocks():
     rng = np.random.default_rng(1)
     text = (" ".join(f"w{k}" for k in rng.integers(0, 1000, 700_000)) + " " + "y" * 3_000_000 + " end").encode()
