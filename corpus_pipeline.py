@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from emberlode.llm import minhash, packing, quality, suffix, toxicity
 
 
+#: Percent of word shingles that near duplicates share; the 85 of op8 holds for that query alone.
+SIMILAR = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity classifier rejects."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,7 +28,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+    gone = minhash.near_duplicates(docs, similar=SIMILAR).where("not kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone.distinct(), docs["doc_id"] == gone["_gone"], "left_anti")
 
 

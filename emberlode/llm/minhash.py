@@ -29,13 +29,25 @@ from .textops import LOWER, cut, doc_blocks, mix, release, small_batches, text_b
 WORDS = 5
 #: Percent of the union that the intersection must reach.
 SIMILAR = 85
-#: A link of 0.85 shares no band with probability (1 - 0.85**6)**30 = 2e-8.
-BANDS, ROWS = 30, 6
+#: Places of a signature, and how often a link may share no band at most.
+PLACES, MISS = 180, 1e-6
 CHUNK = 2048
 
 _RNG = np.random.default_rng(20240229)
-_MULT = (_RNG.integers(0, 1 << 32, BANDS * ROWS // 2, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
-_XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS // 2, np.uint64).astype(np.uint32)[:, None]
+_MULT = (_RNG.integers(0, 1 << 32, PLACES // 2, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
+_XOR = _RNG.integers(0, 1 << 32, PLACES // 2, np.uint64).astype(np.uint32)[:, None]
+
+
+def banding(similar: int) -> tuple[int, int]:
+    """Bands and rows: the longest bands that miss a pair at similar percent with probability MISS at most.
+
+    At 85 these are 30 bands of 6, which miss (1 - 0.85**6)**30 = 6.8e-7 of such
+    pairs; at 80 they are 36 of 5, which miss 6.2e-7.
+    """
+    for rows in range(PLACES // 2, 0, -1):
+        if (1 - (similar / 100) ** rows) ** (PLACES // rows) <= MISS:
+            return PLACES // rows, rows
+    raise ValueError(f"{PLACES} places don't find pairs at {similar} percent")
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -75,12 +87,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.concatenate([least, most])
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
+def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit value a band. A band takes minima and maxima of different permutations."""
     v = sig.reshape(2, -1).T.reshape(-1)  # min, max of permutation 0, of 1, ...
-    v = v.reshape(ROWS, BANDS).T.astype(np.uint64)
-    h = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for k in range(ROWS):
+    v = v[: bands * rows].reshape(rows, bands).T.astype(np.uint64)
+    h = np.arange(bands, dtype=np.uint64) + np.uint64(1)
+    for k in range(rows):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + v[:, k])
     return h.view(np.int64)
 
@@ -97,8 +109,9 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "id long, shingles binary")
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, similar: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit fingerprint (k1, k2), band values."""
+    shape = banding(similar)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,7 +122,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                     n.append(len(s))
                     k1.append(mix(s).sum(dtype=np.uint64).astype(np.int64))
                     k2.append(mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).astype(np.int64))
-                    bands.append(band_hashes(signature(s)) if len(s) else [])
+                    bands.append(band_hashes(signature(s), *shape) if len(s) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "k1", "k2", "bands"])
 
     return docs.mapInArrow(rows, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
@@ -176,7 +189,7 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(_signed(texts))
+    signed = cut(_signed(texts, similar))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"))
     classes = cut(classes)

@@ -177,6 +177,30 @@ def test_near_duplicates(spark, docs):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_banding_follows_the_similarity():
+    assert minhash.banding(85) == (30, 6) and minhash.banding(80) == (36, 5)
+    for similar in (50, 70, 80, 85, 95):
+        bands, rows = minhash.banding(similar)
+        assert bands * rows <= minhash.PLACES and (1 - (similar / 100) ** rows) ** bands <= 1e-6
+    rng = np.random.default_rng(6)
+    for _ in range(300):  # Jaccard 800 / 1000
+        x = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
+        a, b = (minhash.band_hashes(minhash.signature(s), 36, 5) for s in (x[:900], x[100:]))
+        assert (a == b).any()
+
+
+def test_pipeline_links_from_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(204)]  # 200 shingles
+    edited = ["q" if i in (20, 60, 100, 140) else w for i, w in enumerate(base)]  # 180 of 220 are shared: 0.818
+    far = ["q" if i in (20, 50, 80, 110, 140) else w for i, w in enumerate(base)]  # 175 of 225: 0.778
+    docs = spark.createDataFrame([(i + 100 * g, " ".join(f"{w}g{g}" for w in t)) for g in range(12) for i, t in enumerate([base, far if g == 11 else edited])], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert kept == {100 * g for g in range(12)} | {1101}
+    assert minhash.near_duplicates(docs).where("kept").count() == 24
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2)) if a != b] + [(i, i + 1) for i in range(100, 130)]
