@@ -270,6 +270,26 @@ def test_backoff(spark, batch_bytes, docs, texts):
     assert backoff.lm_scores(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_backoff_of_higher_order(spark, batch_bytes, docs, texts, order):
+    words = [low(t) for _, t in texts]
+    runs = lambda w: Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    all_, n = sum(map(runs, words), Counter()), sum(map(len, words))
+    want = []
+    for (d, _), w in zip(texts, words):
+        own, s, seen = runs(w), 0.0, Counter()
+        for i in range(len(w)):
+            k, back = min(order, i + 1), 0.0
+            while k and all_[g := tuple(w[i - k + 1 : i + 1])] == own[g]:
+                k, back = k - 1, back + math.log(0.4)
+            seen[k] += 1
+            under = all_[g[:-1]] - own[g[:-1]] if k > 1 else n - len(w)
+            s += back + (math.log((all_[g] - own[g]) / under) if k else -math.log(n - len(w) + 1))
+        want.append((d, len(w), *(seen[k] for k in range(order, 0, -1)), round(s, 6)))
+    got = [(*r[:-1], round(r.log_score, 6)) for r in backoff.lm_scores(docs, order=order).collect()]
+    assert Counter(got) == Counter(want) and any(x[2] for x in want)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(8)
     codes = [(i, int(c)) for i, c in enumerate(rng.integers(-(1 << 63), 1 << 63, 150))] + [(1000 + i, 12345) for i in range(30)] + [(2000, None), (None, 5), (0, None)]
