@@ -1,12 +1,11 @@
-"""Removal of repeated 50-byte strings by distributed prefix doubling.
-
-Positions are ranked by their first 25 bytes and, where that rank isn't unique,
-again by the pair of ranks at offsets 0 and 25, that is by 50 bytes: past the
-threshold the doubling ends. Two measures keep the first sort small. Of the 26
-25-byte strings in a 50-byte string only the one with the smallest hash is
-ranked, and equal strings choose alike; so the first round sorts about a
-thirteenth of all positions and still sees every repeated 50-byte string. And a
-rank is asked for once a batch of documents (see blocks), not once a position.
+"""Removal of repeated 50-byte strings by minimiser selection and hash matching.
+
+Not prefix doubling: no ranks are assigned or paired. Of the 26 25-byte strings
+in a 50-byte string the one with the smallest hash is matched first; equal
+strings choose alike, so this asks about a thirteenth of all positions and still
+sees every repeated 50-byte string. Where that one repeats, the hashes of all 50
+bytes are matched. A hash is asked for once a batch of documents (see blocks),
+not once a position.
 Exact copies of a text are found by their digest first and take no part.
 """
 
