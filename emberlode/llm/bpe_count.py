@@ -19,7 +19,6 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import small_batches
 
 MARK = "▁"
 LIMIT = 4096
@@ -106,7 +105,6 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, model: str = "piece_bpe_32
     counted each, an empty table gives no rows, other columns are ignored.
     No shuffle; a worker keeps a bounded cache of counted units.
     """
-    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model)

@@ -21,7 +21,6 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import small_batches
 
 MAX_LEN = 2048
 END_ID = 1
@@ -99,7 +98,6 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, with_ids: bool = True) -> Data
     """
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
-    small_batches(docs.sparkSession)
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

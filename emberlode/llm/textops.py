@@ -7,6 +7,9 @@ buffer into blocks of about a megabyte, at white space inside a long text.
 
 from __future__ import annotations
 
+import gc
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +18,6 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and U+0009 to U+000D.
 SPACES = b" \t\n\x0b\x0c\r"
 BLOCK = 1 << 20
-#: Rows of an Arrow batch: long texts then stay within an executor's memory.
-BATCH_ROWS = 500
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
@@ -153,19 +154,14 @@ def word_hashes(b: np.ndarray, off: np.ndarray, between: np.ndarray = _IS_SPACE,
     return np.concatenate(parts, axis=-1), np.searchsorted(s, off)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for this session's Python stages."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; set here only where it is unset."""
+    """Folder that driver and executors share; in local mode, one of our own where it is unset."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        where = sc.getConf().get("spark.checkpoint.dir", None)
         if where is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             where = "file://" + tempfile.mkdtemp(prefix="emberlode-")
@@ -173,22 +169,37 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+class Rounds:
+    """Tables that rounds of jobs write in the shared folder and read again.
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished rounds' shuffle and checkpoint files.
-
-    The driver frees them when it collects its garbage, which a loop of small jobs
-    hardly makes it do.
+    A written table cuts the lineage and outlives lost executors; dropping it frees
+    its disk at once. Reading also packs many small parts into few tasks. What isn't
+    dropped goes when the driver's JVM ends.
     """
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self, spark: SparkSession):
+        jvm = spark.sparkContext._jvm
+        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.at))
+        self._fs.deleteOnExit(self._path(self.at))
+        self._where: dict[int, str] = {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        where, self.n = f"{self.at}/{self.n}", self.n + 1
+        df.write.option("compression", "zstd").parquet(where)
+        out = self.spark.read.schema(df.schema).parquet(where)
+        self._where[id(out)] = where
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that put returned, and let the driver free finished jobs' shuffle files."""
+        for t in tables:
+            if t is not None and (where := self._where.pop(id(t), None)):
+                self._fs.delete(self._path(where), True)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def parallelism(spark: SparkSession) -> int:
