@@ -109,9 +109,11 @@ def fit(y: np.ndarray, bag: list[tuple[np.ndarray, np.ndarray]], epochs: int = 1
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    y, raw = labelled.sample(docs, labels, "quality", train_rows, bags)
-    both = [np.frombuffer(x, np.int32) for x in raw]
-    return fit((y > 0).astype(int), [(x[: len(x) // 2], x[len(x) // 2 :]) for x in both])
+    def learn(y: np.ndarray, raw: list[bytes]) -> Model:
+        both = [np.frombuffer(x, np.int32) for x in raw]
+        return fit((y > 0).astype(int), [(x[: len(x) // 2], x[len(x) // 2 :]) for x in both])
+
+    return labelled.fitted(docs, labels, "quality", train_rows, bags, learn)
 
 
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
