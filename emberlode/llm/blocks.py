@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import small_batches, text_buffer
+from .textops import text_buffer
 
 #: Text of a batch, and the least text that a block stands for.
 BATCH_BYTES, BLOCK_BYTES = 4 << 20, 1 << 10
@@ -51,13 +51,17 @@ def borders(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edge, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
+def batch_of(docs: DataFrame, batches: int) -> Column:
+    """The batch of each row of docs(doc_id, text): by id and text, so that rows which share an id, or have none, are spread."""
+    return F.pmod(F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")), F.lit(batches)).cast("int")
+
+
 def batched(docs: DataFrame, batches: int) -> DataFrame:
     """docs(doc_id, text) with the batch b, and the text as a zstd frame; null ids are a batch's rows as well.
 
     Texts are what the shuffle is made of and it is kept for every reader, so they
     cross it compressed.
     """
-    small_batches(docs.sparkSession)
 
     def squeeze(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=3)
@@ -67,7 +71,7 @@ def batched(docs: DataFrame, batches: int) -> DataFrame:
             z = [codec.compress(data.slice(int(i), int(j - i)), asbytes=True) if j > i else b"" for i, j in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(np.diff(off), pa.int64()), pa.array(z, pa.binary())], names=["b", "doc_id", "size", "z"])
 
-    rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(batches)).cast("int").alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(batch_of(docs, batches).alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(squeeze, "b int, doc_id long, size long, z binary")
 
 

@@ -6,7 +6,7 @@ strings choose alike, so this asks about a thirteenth of all positions and still
 sees every repeated 50-byte string. Where that one repeats, the hashes of all 50
 bytes are matched. A hash is asked for once a batch of documents (see blocks),
 not once a position.
-Exact copies of a text are found by their digest first and take no part.
+Exact copies of a text, by id and digest, are found first and take no part.
 """
 
 from __future__ import annotations
@@ -97,10 +97,14 @@ def _batch(t: pa.Table, extra: pa.Table, length: int):
     """Texts of a batch without the exact copies, their windows, and which rows are copies."""
     ids = t["doc_id"].combine_chunks()
     raw, off = blocks.batch_texts(t)
-    copies = extra.filter(pc.equal(extra["p"], -1))["total"].to_numpy()
     named = ids.is_valid().to_numpy(zero_copy_only=False)
     doc_id = ids.fill_null(0).to_numpy()
-    copy = np.isin(doc_id, copies) & named & (np.diff(off) >= length)
+    # a copy is an id with a text: rows that share an id may differ
+    told = extra.filter(pc.equal(extra["p"], -1))
+    copies = set(zip(told["total"].to_pylist(), told["vals"].to_pylist()))
+    copy = np.zeros(len(t), bool)
+    for r in np.flatnonzero(np.isin(doc_id, told["total"].to_numpy()) & named & (np.diff(off) >= length)) if copies else ():
+        copy[r] = (int(doc_id[r]), hashlib.md5(raw[off[r] : off[r + 1]]).digest()) in copies
     return doc_id, raw, off, copy, named
 
 
@@ -117,7 +121,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, with_text: bool = False) ->
 
     One row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 and, with_text, kept_text (the remaining bytes without the parts
-    of characters that a cut has split). Null text is empty. Rows with a null id
+    of characters that a cut has split) and text_md5, which tells apart the texts of
+    rows that share an id. Null text is empty. Rows with a null id
     are returned as they are and remove nothing. Of repeated rows with one id, none
     removes from the other. An empty table gives no rows; other columns are ignored.
     """
@@ -126,9 +131,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, with_text: bool = False) ->
     n = blocks.n_batches(docs)
     texts = blocks.batched(docs, n)
     # exact copies: only the digest of each text is shuffled
-    digest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("k")).where((F.octet_length(docs["text"].cast("string")) >= length) & F.col("doc_id").isNotNull())
+    body = docs["text"].cast("string").cast("binary")
+    digest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(body)).alias("k"), blocks.batch_of(docs, n).alias("b")).where((F.octet_length(body) >= length) & F.col("doc_id").isNotNull())
     least = digest.groupBy("k").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    copies = digest.join(least, "k").where("doc_id > least").select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("b"), F.lit(-1).alias("p"), F.lit(None).cast("binary").alias("vals"), F.col("doc_id").alias("total"))
+    copies = digest.join(least, "k").where("doc_id > least").select("b", F.lit(-1).alias("p"), F.col("k").alias("vals"), F.col("doc_id").alias("total")).distinct()
 
     def first(key, t: pa.Table, extra: pa.Table) -> pa.Table:
         _, raw, off, copy, named = _batch(t, extra, length)
@@ -165,19 +171,19 @@ def repeated(docs: DataFrame, length: int = LENGTH, with_text: bool = False) ->
         change[where[covered]] += 1
         change[where[covered] + length] -= 1
         gone = np.cumsum(change[:-1], dtype=kind) > 0
-        cols: list[list] = [[], [], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], [], []]
         for r, (i, j) in enumerate(zip(off[:-1], off[1:])):
             g = np.ones(j - i, bool) if copy[r] else gone[i:j]
             kept = raw[i:j][~g].tobytes()
             spans = int(np.count_nonzero(g[1:] & ~g[:-1]) + g[:1].sum())
-            for c, v in zip(cols, (int(doc_id[r]) if named[r] else None, j - i, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)):
+            for c, v in zip(cols, (int(doc_id[r]) if named[r] else None, j - i, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, hashlib.md5(raw[i:j]).digest() if with_text else None)):
                 c.append(v)
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "text_md5"])
 
     by_batch = lambda right: texts.groupBy("b").cogroup(right.groupBy("b"))
     ranked = blocks.answered(by_batch(copies).applyInArrow(first, blocks.BLOCK_SCHEMA), np.uint8, shared)
     known = copies.unionByName(ranked)
     doubled = blocks.answered(by_batch(known).applyInArrow(second, blocks.BLOCK_SCHEMA), np.int64, smaller)
     known = known.unionByName(doubled.withColumn("p", F.col("p") + n))
-    out = by_batch(known).applyInArrow(third, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return out if with_text else out.drop("kept_text")
+    out = by_batch(known).applyInArrow(third, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, text_md5 binary")
+    return out if with_text else out.drop("kept_text", "text_md5")

@@ -201,14 +201,16 @@ def test_pipeline_links_from_80_percent(spark):
     assert minhash.near_duplicates(docs).where("kept").count() == 24
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2)) if a != b] + [(i, i + 1) for i in range(100, 130)]
     comp = {x: x for e in edges for x in e}
     for _ in range(100):
         for a, b in edges:
             comp[a] = comp[b] = min(comp[a], comp[b])
-    assert {r.id: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()} == comp
+    assert {r.id: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long"), textops.Rounds(spark)).collect()} == comp
 
 
 @pytest.fixture(params=[None, 300])
@@ -329,35 +331,33 @@ def test_classifiers_without_labels_and_awkward_rows(spark, docs, op, label):
     assert op.score(empty(spark), some).count() == 0
 
 
-def test_naming_a_group_keeps_the_score():
-    rng = np.random.default_rng(0)
-    y = (np.arange(400) % 4 == 0).astype(float)
-    # "muslim" comes with insults in the labelled rows: without the penalty it would be a sign
-    rows = [" ".join(f"w{k}" for k in rng.integers(0, 50, 12)) + (" idiot muslim" if v and rng.random() < 0.7 else " idiot" if v else "") for v in y]
+def fitted(rows, y, **more):
     raw = "".join(rows).encode()
     off = np.concatenate([[0], np.cumsum([len(r.encode()) for r in rows])])
-    sets = [np.frombuffer(s, np.uint64) for s in toxicity.word_sets(np.frombuffer(raw, np.uint8), off)]
+    m = toxicity.fit(y, [np.frombuffer(s, np.uint64) for s in toxicity.word_sets(np.frombuffer(raw, np.uint8), off)], **more)
+    return lambda t: float(m(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0])
 
-    def shift(swap):
-        m = toxicity.fit(y, sets, swap=swap)
-        s = lambda t: float(m(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0])
-        return abs(s("my muslim friend came") - s("my friend came")), s("you idiot")
 
-    assert shift(1.0)[0] < shift(0.0)[0] / 2 or shift(1.0)[0] < 0.01
-    assert shift(1.0)[1] > 0.5
+@pytest.mark.parametrize("term", ["muslim", "transgender", "jewish", "women", "immigrants", "gay"])
+def test_naming_a_group_keeps_the_score(term):
+    rng = np.random.default_rng(3)
+    y = (np.arange(1600) % 5 == 0).astype(float)
+    # the term stands in 60% of toxic rows and 4% of the others, insults in half of the toxic
+    rows = [" ".join(f"w{k}" for k in rng.integers(0, 50, 12)) + (f" {term}" if rng.random() < (0.6 if v else 0.04) else "") + (" idiot" if v and rng.random() < 0.5 else "") for v in y]
+    logit = lambda p: math.log(p / (1 - p))
+    shift = lambda s: abs(logit(s(f"my {term} friend came")) - logit(s("my friend came")))
+    free, held = fitted(rows, y, swap=0.0), fitted(rows, y)
+    assert shift(free) > 1.5 and shift(held) < shift(free) / 10
+    assert held(f"my {term} friend came") < 0.5 < held("you idiot")
 
 
-@pytest.mark.parametrize("term", ["muslim", "jewish", "women", "immigrants", "gay"])
-def test_a_term_that_goes_with_the_label_keeps_the_score(term):
-    rng = np.random.default_rng(3)
-    y = (np.arange(800) % 5 == 0).astype(float)
-    # the term stands in 60% of toxic rows and 3% of the others; no insult explains it
-    rows = [" ".join(f"w{k}" for k in rng.integers(0, 50, 12)) + (f" {term}" if rng.random() < (0.6 if v else 0.03) else "") for v in y]
-    raw = "".join(rows).encode()
-    off = np.concatenate([[0], np.cumsum([len(r.encode()) for r in rows])])
-    m = toxicity.fit(y, [np.frombuffer(s, np.uint64) for s in toxicity.word_sets(np.frombuffer(raw, np.uint8), off)])
-    s = lambda t: float(m(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0])
-    assert abs(s(f"my {term} friend came") - s("my friend came")) < 0.1
+def test_counterfactuals_are_rows_with_the_term_swapped():
+    sets = [np.frombuffer(s, np.uint64) for s in toxicity.word_sets(np.frombuffer(b"gay menace", np.uint8), np.array([0, 10]))]
+    named = {t: c for g in toxicity.IDENTITY_TERMS for t, c in zip(g, toxicity.term_columns(list(g)))}
+    got = toxicity.counterfactuals(sets, 8, np.random.default_rng(0))
+    group = next(g for g in toxicity.IDENTITY_TERMS if "gay" in g)
+    assert {(frozenset(a), frozenset(b)) for a, b, _ in got} == {(frozenset(named[t].tolist()) if t else frozenset(), frozenset(named["gay"].tolist())) for t in [*[t for t in group if t != "gay"], None]}
+    assert sum(w for *_, w in got) == pytest.approx(1)
 
 
 def test_long_texts_in_blocks():
@@ -390,8 +390,25 @@ def test_pipeline_stages(spark):
         rows = out.collect()
         assert len(rows) <= seen and len({r.doc_id for r in rows}) == len(rows)
         if name == "near_duplicates":
-            assert {r.doc_id for r in rows} == {r.doc_id for r in minhash.near_duplicates(at).where("kept").collect()}
+            assert {r.doc_id for r in rows} == {r.doc_id for r in minhash.near_duplicates(at, corpus_pipeline.SIMILAR).where("kept").collect()}
         at, seen = spark.createDataFrame(rows, docs.schema), len(rows)
     assert seen > 100
     assert all(r.n_chars == len(r.text) for r in at.collect() if r.text is not None)
     assert corpus_pipeline.STAGES[-1][1](spark, at, SF).agg(F.countDistinct("doc_id")).first()[0] == seen
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Shared ids, nulls, empty texts, repeated rows and clashing columns; the filters by id and text against brute force."""
+    import corpus_pipeline
+
+    a, b = " ".join(f"alpha{i}" for i in range(40)), " ".join(f"beta{i}" for i in range(40))
+    rows = [(3, a), (7, a), (7, b), (9, b + " more"), (9, "something else that nobody has said before in so many words as these"), (None, a), (4, None), (5, ""), (6, "..."), (8, a), (8, a)]
+    made = spark.createDataFrame([(i, t, "_kept", 1, True, "k") for i, t in rows], "doc_id long, text string, _id string, u int, kept boolean, text_md5 string")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, made, SF).collect()]
+    assert Counter(left) == Counter([(3, a), (7, b), rows[4], (None, a), (4, None), (5, ""), (6, "...")])
+    cut = corpus_pipeline.cut_repeats(spark, made, SF)
+    assert cut.dtypes == made.dtypes
+    assert Counter((r.doc_id, r.text) for r in cut.collect()) == Counter([(3, a), (7, ""), (7, b), (9, " more"), rows[4], (None, a), (4, None), (5, ""), (6, "..."), (8, ""), (8, "")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, made, SF).dtypes == made.dtypes and stage(spark, made.where("false"), SF).count() == 0, name
+    assert corpus_pipeline.packed(spark, made, SF).agg(F.countDistinct("doc_id")).first()[0] == 7
