@@ -13,7 +13,7 @@ LANGUAGES = {
     ".py": ("python", True), ".go": ("go", True), ".rs": ("rust", True), ".java": ("java", True), ".c": ("c", True), ".h": ("c", True),
     ".cpp": ("cpp", True), ".hpp": ("cpp", True), ".cc": ("cpp", True), ".cxx": ("cpp", True), ".cs": ("c_sharp", True), ".rb": ("ruby", True), ".php": ("php", True),
     ".json": ("json", False), ".yaml": ("yaml", False), ".yml": ("yaml", False), ".md": ("markdown", False), ".mdx": ("markdown", False),
-    ".sh": ("bash", False), ".html": ("html", False), ".css": ("css", False), ".sql": ("sql", False), ".lua": ("lua", False),
+    ".sh": ("bash", False), ".html": ("html", False), ".css": ("css", False),
 }
 HASH_COMMENTS = ("python", "ruby", "bash")
 DASH_COMMENTS = ("sql", "lua")

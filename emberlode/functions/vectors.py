@@ -46,6 +46,11 @@ def quantize_int8(rows: Column) -> tuple[Column, Column]:
     return F.transform(rows, lambda r: F.transform(r, whole)), scale
 
 
+def packed_int8(rows: Column) -> Column:
+    """Rows of integers in -127..127 as bytes, row by row."""
+    return F.unhex(F.array_join(F.transform(F.flatten(rows), lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), ""))
+
+
 def pooled(rows: Column, width: int) -> Column:
     """Mean of the rows, L2-normalised."""
     mean = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: _sum(F.transform(rows, lambda r: F.get(r, i).cast("double"))) / F.size(rows))
@@ -69,15 +74,17 @@ def maxsim(df: DataFrame, query: np.ndarray, tokens: str, scale: str, width: int
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            res = []
-            ids = b.column(names.index(token_ids)).to_pylist() if token_ids else [None] * len(b)
-            for raw, s, t in zip(b.column(names.index(tokens)).to_pylist(), b.column(names.index(scale)).to_pylist(), ids):
-                m = np.frombuffer(raw or b"", np.int8)
-                m = m[: len(m) // width * width].reshape(-1, width).astype(np.float32) * ((1.0 if s is None else s) / 127.0)
-                if t is not None and len(t) == len(m) and skip:
-                    m = m[[x not in skip for x in t]]
+            ids = b.column(names.index(token_ids)).to_pylist() if token_ids and skip else [None] * len(b)
+            raws = [x.as_buffer() if x.is_valid else b"" for x in b.column(names.index(tokens))]
+            parts = [np.frombuffer(x, np.int8)[: len(x) // width * width].reshape(-1, width) if len(x) else np.zeros((0, width), np.int8) for x in raws]
+            parts = [m[[x not in skip for x in t]] if t is not None and len(t) == len(m) else m for m, t in zip(parts, ids)]
+            res, size = np.zeros(len(b)), np.array([len(m) for m in parts], np.int64)
+            full = np.flatnonzero(size)
+            if len(full):  # one product for the batch, then the greatest by row
                 w = min(width, q.shape[1])
-                res.append(float((q[:, :w] @ m[:, :w].T).max(axis=1).sum()) if len(m) else 0.0)
+                step = b.column(names.index(scale)).fill_null(1.0).to_numpy(zero_copy_only=False).astype(np.float32) / np.float32(127.0)
+                all_ = np.concatenate(parts)[:, :w].astype(np.float32) * np.repeat(step, size)[:, None]
+                res[full] = np.maximum.reduceat(q[:, :w] @ all_.T, (np.cumsum(size) - size)[full], axis=1).sum(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(res, pa.float64())], names=[*names, out])
 
     return df.mapInArrow(score, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{out}` double")
@@ -86,23 +93,33 @@ def maxsim(df: DataFrame, query: np.ndarray, tokens: str, scale: str, width: int
 def nearest(df: DataFrame, id_col: str, vector: str, query: list[float], k: int, metric: str = "l2") -> DataFrame:
     """(id, distance) of the k nearest rows, by distance then id; exact.
 
-    Each batch keeps its own k best, so only k rows a batch meet in the final
-    top-k. Null vectors, and vectors of another length, are left out.
+    A task keeps its k best over all its batches, so only k rows a task meet in the
+    final top-k. Ids are numbers or strings. Null ids and vectors are left out; a vector
+    of another length than the query's is an error.
     """
     q = np.asarray(query, np.float64)
+    kind = df.schema[id_col].dataType.simpleString()
+    kind = kind if kind == "string" else "bigint"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_ids, best_d = None, np.zeros(0)
         for b in batches:
             v = b.column(1)
-            ok = pa.compute.equal(pa.compute.list_value_length(v), len(q)).fill_null(False)
-            b = b.filter(ok)
-            ids, m = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+            if (pa.compute.list_value_length(v).to_numpy(zero_copy_only=False) != len(q)).any():
+                raise ValueError(f"a vector hasn't the {len(q)} dimensions of the query")
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids = ids.astype(str) if kind == "string" else ids
+            m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
             if metric == "l2":
                 d = np.sqrt(((m - q) ** 2).sum(1))
             else:
                 norm = np.sqrt((m**2).sum(1)) * np.sqrt((q**2).sum())
                 d = 1 - (m @ q) / np.where(norm == 0, 1, norm)
+            ids, d = (ids, d) if best_ids is None else (np.concatenate([best_ids, ids]), np.concatenate([best_d, d]))
             best = np.lexsort((ids, d))[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best]), pa.array(d[best])], names=["id", "distance"])
+            best_ids, best_d = ids[best], d[best]
+        if best_ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(best_ids.tolist(), pa.string() if kind == "string" else pa.int64()), pa.array(best_d)], names=["id", "distance"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).where(F.col(id_col).isNotNull()).mapInArrow(scan, "id long, distance double").orderBy("distance", "id").limit(k)
+    rows = df.select(F.col(id_col).cast(kind), F.col(vector).cast("array<double>")).where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
+    return rows.mapInArrow(scan, f"id {kind}, distance double").orderBy("distance", "id").limit(k)

@@ -9,10 +9,12 @@ line windows.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,6 @@ class Chunk:
 
 def _python(text: str) -> list[Chunk]:
     tree, lines, out = ast.parse(text), text.split("\n"), []
-    names = next((ast.literal_eval(n.value) for n in tree.body if isinstance(n, ast.Assign) and getattr(n.targets[0], "id", "") == "__all__" and isinstance(n.value, (ast.List, ast.Tuple))), None)
 
     def visit(node: ast.AST, trail: list[str]) -> None:
         for n in ast.iter_child_nodes(node):
@@ -51,8 +52,8 @@ def _python(text: str) -> list[Chunk]:
                 kind = "class" if is_class else "method" if trail and trail[-1].startswith("Class: ") else "function"
                 start = min([n.lineno, *[d.lineno for d in n.decorator_list]]) - 1
                 calls = [f.attr if isinstance(f, ast.Attribute) else f.id for c in sorted((c for c in ast.walk(n) if isinstance(c, ast.Call)), key=lambda c: (c.end_lineno, c.end_col_offset)) if isinstance(f := c.func, (ast.Attribute, ast.Name))]
-                branches = sum(isinstance(c, (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Match)) for c in ast.walk(n))
-                branches += sum(len(c.values) - 1 for c in ast.walk(n) if isinstance(c, ast.BoolOp))
+                # an elif, an except, a match and `and` or `or` don't count
+                branches = sum(isinstance(c, (ast.For, ast.AsyncFor, ast.While, ast.IfExp)) or isinstance(c, ast.If) and not lines[c.lineno - 1].lstrip().startswith("elif") for c in ast.walk(n))
                 before = []
                 i = start - 1
                 while i >= 0 and lines[i].strip().startswith("#"):
@@ -60,9 +61,8 @@ def _python(text: str) -> list[Chunk]:
                     i -= 1
                 label = f"{'Class' if is_class else 'Method' if kind == 'method' else 'Function'}: {n.name}"
                 parent = re.sub(r"^(Class|Method|Function|Interface|Type): ", "", trail[-1]) if trail else ""
-                exported = n.name in names if names is not None else not trail and not n.name.startswith("_")
                 body = None if is_class else (n.body[0].lineno - 1, n.end_lineno - 1)
-                out.append(Chunk("\n".join(lines[start : n.end_lineno]), start, n.end_lineno - 1, kind, n.name, [*trail, label], 1 + branches, exported, calls, "\n".join(before), parent, body))
+                out.append(Chunk("\n".join(lines[start : n.end_lineno]), start, n.end_lineno - 1, kind, n.name, [*trail, label], 1 + branches, False, calls, "\n".join(before), parent, body))
                 visit(n, [*trail, label])
             else:
                 visit(n, trail)
@@ -72,8 +72,8 @@ def _python(text: str) -> list[Chunk]:
 
 
 _HEAD = re.compile(
-    r"^[ \t]*(?P<export>export\s+(?:default\s+)?|pub(?:\([a-z]+\))?\s+|public\s+)?(?:(?:async|static|private|protected|abstract|final|const|unsafe|inline|override|virtual)\s+)*"
-    r"(?:(?P<kind>class|interface|enum|struct|trait|impl|namespace|function\*?|func|fn)\s+(?:\([^)]*\)\s*)?(?P<name>[A-Za-z_$][\w$]*)|(?:[\w<>\[\],.*&]+\s+)*(?P<method>[A-Za-z_$][\w$]*)\s*\([^;{}]*\)[^;{}=]*(?=\{))",
+    r"^[ \t]*(?P<export>export\s+(?:default\s+)?)?(?:pub(?:\([a-z]+\))?\s+|public\s+)?(?:(?:async|static|private|protected|abstract|final|const|unsafe|inline|override|virtual)\s+)*"
+    r"(?:(?P<kind>class|interface|enum|struct|trait|impl|namespace|function\*?|func|fn)\s+(?:\([^)]*\)\s*)?(?P<name>[A-Za-z_$][\w$]*)|(?:[\w<>\[\],.*&]+\s+){0,6}(?P<method>[A-Za-z_$][\w$]*)\s*\([^;{}]*\)[^;{}=]*(?=\{))",
     re.M,
 )
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "else", "do", "new", "function", "match", "with"}
@@ -86,8 +86,63 @@ def _blanked(text: str) -> str:
     return re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", hide, text, flags=re.S)
 
 
-def _braces(text: str) -> list[Chunk]:
+#: Words that add to the complexity, by language; operators add in all of them.
+_BRANCHES = {"rust": (), "go": ("if", "for")}
+_VALUE = re.compile(r"^(?P<export>export\s+)?(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)", re.M)
+_UPPER = re.compile(r"(?:^|\n)\s*(?:export\s+)?const\s+[A-Z0-9_]+\s*=")
+
+
+def _values(text: str, bare: str) -> list[Chunk]:
+    """Value definitions at the outermost level: arrow functions, function and class expressions, constants in capitals."""
+    depth, level = 0, np.zeros(len(bare) + 1, np.int32)
+    for i, c in enumerate(bare):
+        depth += (c in "{([") - (c in "})]")
+        level[i + 1] = depth
+    out = []
+    for m in _VALUE.finditer(bare):
+        if level[m.start()] or m["export"]:  # an exported one is part of the text between
+            continue
+        end = m.end()
+        while end < len(bare) and not (level[end] == 0 and (bare[end] == ";" or bare[end] == "\n" and not re.match(r"\s*[.?:=+&|]", bare[end:]) and not re.search(r"(?:[=(,+&|?:]|=>)\s*\Z", bare[m.start() : end][-40:]))):
+            end += 1
+        end = min(end + (end < len(bare) and bare[end] == ";"), len(text))
+        part = text[m.start() : end]
+        if not ("=>" in part or "function " in part or "class " in part or _UPPER.search(part)):
+            continue
+        s = text.count("\n", 0, m.start())
+        inner = bare[m.start() : end]
+        calls = [c for c in re.findall(r"([A-Za-z_$][\w$]*)\s*\(", inner) if c not in _NOT_NAMES]
+        branches = len(re.findall(r"\b(?:if|for|while|switch|catch)\b|&&|\|\||\?\?", inner))
+        out.append(Chunk(part, s, s + part.count("\n"), "function", m["name"], [f"Function: {m['name']}"], 1 + branches, False, calls))
+    return out
+
+
+def file_facts(path: str, text: str) -> tuple[list[str], list[str], list[str]]:
+    """Import statements, exported names and the comments of the first 10 lines of a file."""
+    ext = re.search(r"[^/](\.[^./]*)$", path.lower())
+    lang, parsed = LANGUAGES.get(ext[1] if ext else "", ("", False))
+    if not parsed:
+        return [], [], []
+    top = "\n".join(text.split("\n")[:10])
+    if lang == "python":
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError):
+            return [], [], []
+        imports = [ast.get_source_segment(text, n) or "" for n in ast.walk(tree) if isinstance(n, ast.Import)]
+        return imports, [], [x.strip() for x in re.findall(r"^[ \t]*#[^\n]*", top, re.M)]
+    bare = _blanked(text)
+    imports = [text[m.start() : m.end()].strip() for m in re.finditer(r"^import\b[^;\n{]*(?:\{[^}]*\}[^;\n]*)?;?", bare, re.M)]
+    exports = [m[1] or m[2] or m[3] for m in re.finditer(r"^export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:(?:class|interface|enum|type|function\*?)\s+([\w$]+)|(?:const|let|var)\s+([\w$]+)|([A-Za-z_$][\w$]*)\s*;?$)", bare, re.M)]
+    comments = [m[0].strip() for m in re.finditer(r"//[^\n]*|/\*.*?\*/", text, re.S) if text.count("\n", 0, m.start()) < 10 and bare[m.start() : m.start() + 2] == "  "]
+    return imports, exports, comments
+
+
+def _braces(text: str, lang: str = "") -> list[Chunk]:
     bare, lines, out = _blanked(text), text.split("\n"), []
+    words = _BRANCHES.get(lang, ("if", "for", "while", "switch", "catch"))
+    branch = re.compile((rf"\b(?:{'|'.join(words)})\b|" if words else "") + r"&&|\|\||\?\?")
+    breaks = [i for i, c in enumerate(text) if c == "\n"]
     match: dict[int, int] = {}
     stack: list[int] = []
     for i, c in enumerate(bare):
@@ -95,9 +150,8 @@ def _braces(text: str) -> list[Chunk]:
             stack.append(i)
         elif c == "}" and stack:
             match[stack.pop()] = i
-    line_of = lambda i: text.count("\n", 0, i)
+    line_of = lambda i: bisect.bisect_left(breaks, i)
     open_: list[tuple[int, str]] = []
-    listed = set(re.findall(r"[A-Za-z_$][\w$]*", " ".join(re.findall(r"export\s*\{([^}]*)\}", bare))))
     at = 0
     while m := _HEAD.search(bare, at):
         at = m.end()
@@ -115,7 +169,7 @@ def _braces(text: str) -> list[Chunk]:
         kind = kind or ("method" if inside else "function")
         body = bare[brace:end]
         calls = [c for c in re.findall(r"([A-Za-z_$][\w$]*)\s*\(", body) if c not in _NOT_NAMES]
-        branches = len(re.findall(r"\b(?:if|for|while|switch|catch)\b|&&|\|\||\?\?", body))
+        branches = len(branch.findall(body))
         label = {"class": "Class", "interface": "Interface", "type_alias": "Type", "method": "Method"}.get(kind, "Function") + f": {name}"
         s, e = line_of(begin), line_of(end)
         before, i = [], s - 1
@@ -124,9 +178,12 @@ def _braces(text: str) -> list[Chunk]:
             i -= 1
         trail = [t for _, t in open_]
         parent = re.sub(r"^(Class|Method|Function|Interface|Type): ", "", trail[-1]) if trail else ""
-        out.append(Chunk(text[begin : end + 1], s, e, kind, name, [*trail, label], 1 + branches, bool(m["export"]) or name in listed, calls, "\n".join(before), parent, (brace, end) if kind in ("method", "function") else None))
+        out.append(Chunk(text[begin : end + 1], s, e, kind, name, [*trail, label], 1 + branches, bool(m["export"]), calls, "\n".join(before), parent, (brace, end) if kind in ("method", "function") else None))
         open_.append((end, label))
         at = brace + 1
+    if lang in ("typescript", "tsx", "javascript"):
+        known = [(c.start_line, c.end_line) for c in out if len(c.context) == 1]
+        out += [v for v in _values(text, bare) if not any(a <= v.start_line and v.end_line <= b for a, b in known)]
     return out
 
 
@@ -137,18 +194,18 @@ def definitions(path: str, text: str) -> list[Chunk]:
     if not lang[1] or lang[0] == "ruby":
         return []
     try:
-        found = _python(text) if lang[0] == "python" else _braces(text)
+        found = _python(text) if lang[0] == "python" else _braces(text, lang[0])
     except (SyntaxError, ValueError, RecursionError):
         return []
     if not found:
         return []
-    lines, at, gaps = text.split("\n"), 0, []
+    lines, at, row, gaps = text.split("\n"), 0, 0, []
     outer = sorted((c for c in found if len(c.context) == 1), key=lambda c: c.start_line)
-    for s, e in [*[(c.start_line, c.end_line + 1) for c in outer], (len(lines), len(lines))]:
+    for s, e in [*[(c.start_line, c.end_line) for c in outer], (len(lines), len(lines) - 1)]:
         between = "\n".join(lines[at:s])
-        if between.strip():
-            gaps.append(Chunk(between, at, max(at, s - 1), "block"))
-        at = max(at, e)
+        if between.strip():  # from the last row of the definition before to the first of the next
+            gaps.append(Chunk(between, row, min(s, len(lines) - 1), "block"))
+        at, row = max(at, e + 1), max(row, e)
     return sorted([*found, *gaps], key=lambda c: (c.start_line, c.end_line))
 
 

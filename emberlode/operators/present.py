@@ -89,3 +89,64 @@ def tsv(rows: DataFrame) -> str:
 
 def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def text_hits(hits: DataFrame) -> DataFrame:
+    """Display rows of hits(path, score, content, chunk_type, start_line, end_line, num_lines): a missing end follows the number of lines."""
+    start = F.coalesce("start_line", F.lit(0))
+    end = F.coalesce("end_line", start + F.greatest(F.lit(0), F.coalesce("num_lines", F.lit(1)) - 1))
+    return hits.select(F.coalesce("path", F.lit("Unknown path")).alias("path"), "score", F.coalesce("content", F.lit("")).alias("content"), "chunk_type", start.alias("start_line"), end.alias("end_line"))
+
+
+#: Folders and names of tests in plain output.
+PLAIN_TEST = r"(?i)(^|/)(__tests__|tests?|specs?)(/|$)|\.(test|spec)\.[cm]?[jt]sx?$"
+
+
+def plain(hits: DataFrame, lines: int = 20, whole: bool = False) -> DataFrame:
+    """head (path:line and tags) and body (cleaned lines, at most so many unless whole) of each hit; no limit by file."""
+    tags = F.filter(F.array(F.when(F.col("chunk_type").rlike("function|class|method"), "Definition"), F.when(F.col("path").rlike(PLAIN_TEST), "Test")), lambda x: x.isNotNull())
+    rows = clean_lines(F.col("content"))
+    more = F.size(rows) - lines
+    shown = rows if whole else F.when(more > 0, F.concat(F.slice(rows, 1, lines), F.array(F.concat(F.lit("... (+"), more.cast("string"), F.lit(" more lines)"))))).otherwise(rows)
+    head = F.concat("path", F.lit(":"), F.greatest(F.lit(1), F.col("start_line") + 1).cast("string"), F.when(F.size(tags) > 0, F.concat(F.lit(" ["), F.array_join(tags, ","), F.lit("]"))).otherwise(""))
+    return hits.select(head.alias("head"), F.array_join(F.transform(shown, lambda x: F.concat(F.lit("  "), x)), "\n").alias("body"))
+
+
+def padded(rows: DataFrame, widths: dict[str, int], right: tuple[str, ...] = ("score",)) -> str:
+    """Rows of a limited result as a table of fixed widths; longer cells are cut, empty lists are a dash."""
+    cell = lambda v: ",".join(map(str, v)) or "-" if isinstance(v, list) else "" if v is None else str(v)
+    fit = lambda c, v: (v[: widths[c]].rjust if c in right else v[: widths[c]].ljust)(widths[c])
+    line = lambda r: " ".join(fit(c, cell(r[c])) for c in widths)
+    return "\n".join([line({c: c for c in widths}), *[line(r.asDict()) for r in rows.select(*widths).collect()]])
+
+
+def human_size(n: int) -> str:
+    """Bytes as B, KB, MB or GB with one decimal from KB on."""
+    if n < 1024:
+        return f"{n} B"
+    unit = min(3, (n.bit_length() - 1) // 10)
+    return f"{n / 1024**unit:.1f} {('KB', 'MB', 'GB')[unit - 1]}"
+
+
+def age(seconds: float) -> str:
+    """The largest whole unit of days, hours and minutes."""
+    for size, unit in ((86400, "d"), (3600, "h"), (60, "m")):
+        if seconds >= size:
+            return f"{int(seconds // size)}{unit} ago"
+    return "just now"
+
+
+def listing(spark, parts: dict[str, str], now: float | None = None) -> list[tuple[str, str]]:
+    """(label, size and age, or that it isn't there yet) of the folders of an index, below it and through Spark's file systems."""
+    import time
+
+    jvm, out = spark.sparkContext._jvm, []
+    for label, where in parts.items():
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            out.append((label, "not created yet"))
+            continue
+        changed = fs.getFileStatus(path).getModificationTime() / 1000
+        out.append((label, f"{human_size(fs.getContentSummary(path).getLength())}, {age((now or time.time()) - changed)}"))
+    return out

@@ -7,6 +7,7 @@ hundred rows at most.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from ..functions import paths
 
 #: The intents, in order; the first pattern found anywhere in the lower-cased query decides.
 INTENTS = (("DEFINITION", "where is|what is|define"), ("FLOW", "how does|how is|implementation"), ("USAGE", "example|how to use|usage"), ("ARCHITECTURE", "architecture|system|overview"))
+#: Folders and names of tests, two patterns side by side.
 TEST_PATH = r"(?i)(^|/)(__tests__|tests?|specs?|benchmark)(/|$)|\.(test|spec)\.[cm]?[jt]sx?$"
 DEFINED_TYPES = ("function", "class", "method", "interface", "type_alias")
 
@@ -108,8 +110,13 @@ def blend(base: Column, fused: Column, weight: float = config.BLEND) -> Column:
     return base + F.lit(weight) * fused
 
 
-def boost(intent_name: str = "GENERAL", anchor_penalty: float = 0.99) -> Column:
+#: Factors that can be set; missing, unreadable and 0 mean these.
+FACTORS = {"anchor": 0.99, "test": 0.5, "docs": 0.6, "prose": 0.6, "short": 0.9}
+
+
+def boost(intent_name: str = "GENERAL", factors: dict[str, str | float | None] | None = None) -> Column:
     """Factor by structure: kind, role, references, intent, then docs, tests, prose files and tiny chunks."""
+    f = {k: config.factor((factors or {}).get(k), v) for k, v in FACTORS.items()}
     c, one = F.col, F.lit(1.0)
     if_ = lambda cond, x: F.when(F.coalesce(cond, F.lit(False)), F.lit(x)).otherwise(one)
     kind = F.coalesce(c("chunk_type"), F.lit("")).isin(*DEFINED_TYPES)
@@ -118,10 +125,10 @@ def boost(intent_name: str = "GENERAL", anchor_penalty: float = 0.99) -> Column:
     wanted = {"DEFINITION": ("DEFINITION", 1.2), "FLOW": ("ORCHESTRATION", 1.4), "USAGE": ("IMPLEMENTATION", 1.2)}.get(intent_name)
     body = if_(kind, 1.1) * F.when(kind, F.when(role == "ORCHESTRATION", 1.5).when(role == "DEFINITION", 1.2).when(role == "IMPLEMENTATION", 1.1).otherwise(1.0)).otherwise(1.0)
     body = body * if_(refs > 5, 1.1) * if_(refs > 15, 1.25) * (if_(role == wanted[0], wanted[1]) if wanted else one)
-    p = F.coalesce(c("path"), F.lit(""))
+    p = F.lower(F.coalesce(c("path"), F.lit("")))
     prose = p.rlike(r"\.(md|mdx|txt|json|lock)$") | p.contains("/docs/")
-    every = if_(role == "DOCS", 0.6) * if_(p.rlike(TEST_PATH), 0.5) * if_(prose, 0.6) * if_((F.length("content") < 50) & ~F.coalesce(c("is_exported"), F.lit(False)), 0.9)
-    return F.when(F.coalesce(c("is_anchor"), F.lit(False)), F.lit(anchor_penalty)).otherwise(body) * every
+    every = if_(role == "DOCS", f["docs"]) * if_(p.rlike(TEST_PATH), f["test"]) * if_(prose, f["prose"]) * if_((F.length("content") < 50) & ~F.coalesce(c("is_exported"), F.lit(False)), f["short"])
+    return F.when(F.coalesce(c("is_anchor"), F.lit(False)), F.lit(f["anchor"])).otherwise(body) * every
 
 
 def without_overlaps(df: DataFrame) -> DataFrame:
@@ -173,26 +180,59 @@ def predicates(path_prefix: str | None = None, defined: str | None = None, refer
     return out
 
 
-def search(chunks: DataFrame, terms: list[str], query_vector: list[float] | None, k: int = 10, intent_name: str = "GENERAL", path_prefix: str | None = None, defined: str | None = None, referenced: str | None = None, cap: int = config.PER_FILE) -> DataFrame:
+def reranked(best: DataFrame, query: str, rerank: Callable[[str, list[str]], list[tuple[int, float]]]) -> DataFrame:
+    """best(id, content, ...) with the base score of a reranking service; texts it gives no score have 0.
+
+    best has RERANK_TOP rows at most, so their texts go through the driver.
+    """
+    from ..sources import providers
+
+    rows = best.select("id", "content", "stage_rank").orderBy("stage_rank").limit(config.RERANK_TOP).collect()
+    got = providers.scattered(providers.retried(lambda: rerank(query, [r["content"] or "" for r in rows])), len(rows))
+    scores = best.sparkSession.createDataFrame([(r["id"], float(s)) for r, s in zip(rows, got)], f"id {best.schema['id'].dataType.simpleString()}, base double")
+    return best.join(F.broadcast(scores), "id")
+
+
+def search(chunks: DataFrame, terms: list[str], query_vector: list[float] | None, k: int = 10, intent_name: str = "GENERAL", path_prefix: str | None = None, defined: str | None = None, referenced: str | None = None, cap: int = config.PER_FILE, query_tokens: Sequence[Sequence[float]] | None = None, rerank: Callable[[str, list[str]], list[tuple[int, float]]] | None = None, query: str = "", factors: dict[str, str | float | None] | None = None, text_hits: DataFrame | None = None) -> DataFrame:
     """Hybrid search over chunks(id, path, content, start_line, end_line, vector, ...): hits by falling score.
 
-    Returns id, path, start_line, end_line, score (relative), confidence, rank from 0.
+    query_tokens: the query's token vectors; then chunks has pooled, colbert and
+    colbert_scale, the second stage goes by the pooled vector and the base score is the
+    late interaction. rerank: a service (query, texts) -> (index, score) pairs, in place
+    of that. With neither, reranking is off. text_hits: (id, score) of a stored
+    full-text index in place of a scan. factors: see boost.
+    Returns id, path, start_line, end_line, score (relative), confidence, rank from 0. A
+    query of other dimensions than the table is an error; an empty table gives no rows.
     """
+    import numpy as np
+
     from ..functions import vectors
 
     seen = chunks.where(predicates(path_prefix, defined, referenced, intent_name))
     n = config.candidates(k)
-    text = ranked(bm25(seen, "id", "content", terms, n), F.desc("score"), F.asc("id")).select("id", "rank")
+    text = text_hits.join(seen.select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(n) if text_hits is not None else bm25(seen, "id", "content", terms, n)
+    text = ranked(text, F.desc("score"), F.asc("id")).select("id", "rank")
     if query_vector is not None:
         vec = ranked(vectors.nearest(seen, "id", "vector", query_vector, n).select("id", "distance"), F.asc("distance"), F.asc("id")).select("id", "rank")
     else:
         vec = text.where("false")
     fused = ranked(fuse(vec, text), F.desc("fused"), F.asc_nulls_last("vec_rank"), F.asc_nulls_last("fts_rank"), name="fused_rank")
-    light = seen.select("id", "path", "start_line", "end_line", "content", "chunk_type", "role", "referenced_symbols", "is_anchor", "is_exported")
+    q = None if query_tokens is None else np.asarray(query_tokens, np.float64)
+    light = seen.select("id", "path", "start_line", "end_line", "content", "chunk_type", "role", "referenced_symbols", "is_anchor", "is_exported", *(["pooled", "colbert", "colbert_scale"] if q is not None else []))
+    pooled = F.lit(None).cast("double")
+    if q is not None:
+        mean = q.mean(0)
+        mean = mean / (np.linalg.norm(mean) or 1.0)
+        pooled = vectors.dot(F.col("pooled").cast("array<double>"), F.array(*[F.lit(float(x)) for x in mean]))
     # at most 2 n candidates by construction
-    rows = light.join(F.broadcast(fused.where(F.col("fused_rank") < config.STAGE1)), "id").withColumn("pooled_score", F.lit(None).cast("double"))
-    best = cascade(rows)
-    scored = best.withColumn("score", blend(base_score(F.col("fused"), F.col("stage_rank")), F.col("fused")) * boost(intent_name))
-    hits = ranked(scored, F.desc("score"), F.asc("stage_rank")).drop("content", "referenced_symbols")
+    best = cascade(light.join(F.broadcast(fused.where(F.col("fused_rank") < config.STAGE1)), "id").withColumn("pooled_score", pooled))
+    if rerank is not None:
+        best = reranked(best, query, rerank)
+    elif q is not None:
+        best = vectors.maxsim(best, q, "colbert", "colbert_scale", q.shape[1], out="base")
+    else:
+        best = best.withColumn("base", base_score(F.col("fused"), F.col("stage_rank")))
+    scored = best.withColumn("score", blend(F.col("base"), F.col("fused")) * boost(intent_name, factors))
+    hits = ranked(scored, F.desc("score"), F.asc("stage_rank")).select("id", "path", "start_line", "end_line", "score", "rank")
     out = calibrate(per_file(without_overlaps(hits), cap, k))
     return out.select("id", "path", "start_line", "end_line", F.col("calibrated").alias("score"), "confidence", (F.row_number().over(Window.orderBy("rank")) - 1).alias("rank"))

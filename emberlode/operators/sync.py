@@ -77,5 +77,11 @@ class WriterLock:
         raise TimeoutError(f"{self.path} is held by another writer")
 
     def __exit__(self, *_: object) -> None:
-        if os.path.exists(self.path):
+        """Another writer may have taken the lock over: only our own goes."""
+        try:
+            with open(self.path) as f:
+                own = f.read().split()[:1] == [str(os.getpid())]
+        except OSError:
+            return
+        if own:
             os.unlink(self.path)

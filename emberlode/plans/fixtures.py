@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..operators import chunking, ranking
 
 
@@ -43,6 +44,15 @@ def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).join(v, "id", "left")
 
 
+def with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """with_vectors, and each vector as 4 tokens of 16: int8 matrix, scale and pooled vector."""
+    m = vectors.token_rows(F.col("embedding"), 16)
+    rows, scale = vectors.quantize_int8(m)
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = v.select((F.col("vec_id") * 1000).alias("id"), F.col("embedding").alias("vector"), vectors.packed_int8(rows).alias("colbert"), scale.alias("colbert_scale"), vectors.pooled(m, 16).alias("pooled"))
+    return chunks(spark, sf_dir).join(v, "id", "left")
+
+
 FILES = """files AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'src/tests/' ELSE 'src/' END || lang || '/' || source || '/' || doc_id ||
     CASE doc_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '.md' END AS path, coalesce(text, '') AS content FROM documents)"""
 SYMBOLIC = (

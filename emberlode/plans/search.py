@@ -88,8 +88,7 @@ def maxsim(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
     rows, scale = vectors.quantize_int8(vectors.token_rows(F.col("embedding"), 16))
-    flat = F.array_join(F.transform(F.flatten(rows), lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")), "")
-    packed = _vectors(spark, d).select("vec_id", F.unhex(flat).alias("tokens"), scale.alias("scale"))
+    packed = _vectors(spark, d).select("vec_id", vectors.packed_int8(rows).alias("tokens"), scale.alias("scale"))
     out = vectors.maxsim(packed, np.array(_query_vector(spark, d), np.float32).reshape(4, 16), "tokens", "scale", 16)
     return out.select("vec_id", F.round("maxsim", 3).alias("maxsim"))
 
@@ -246,18 +245,37 @@ def min_score(spark: SparkSession, d: str) -> DataFrame:
 _HYBRID = _STAGED.replace("CASE WHEN c.doc_id % 3 = 0 THEN NULL ELSE c.doc_id % 97 END AS pooled_score", "NULL AS pooled_score")
 
 
-@query(f"""WITH {_HYBRID}, sc2 AS (SELECT *, (fused + 0.5 * fused) * {_boost_sql('FLOW')} AS score FROM s3),
+def _searched(staged: str, base: str, digits: int) -> str:
+    return f"""WITH {staged}, sc2 AS (SELECT *, ({base} + 0.5 * fused) * {_boost_sql('FLOW')} AS score FROM s3),
     rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, stage_rank) AS rn FROM sc2),
     pf AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rn) AS pn FROM rk a WHERE NOT EXISTS (SELECT 1 FROM rk b WHERE b.path = a.path AND b.rn < a.rn AND greatest(0, least(a.end_line, b.end_line) - greatest(a.start_line, b.start_line)) > 0.5 * least(a.end_line - a.start_line, b.end_line - b.start_line))),
     tk2 AS (SELECT * FROM pf WHERE pn <= 3 ORDER BY rn LIMIT 10), m AS (SELECT max(score) AS m FROM tk2)
-    SELECT id, path, start_line, end_line, round(score / m, 6) AS score, CASE WHEN score / m > 0.8 THEN 'High' WHEN score / m > 0.5 THEN 'Medium' ELSE 'Low' END AS confidence, row_number() OVER (ORDER BY rn) - 1 AS rank FROM tk2, m""")
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: full text and vector candidates, fusion, cascade, boosts, diversity, calibration."""
+    SELECT id, path, start_line, end_line, round(score / m, {digits}) AS score, CASE WHEN score / m > 0.8 THEN 'High' WHEN score / m > 0.5 THEN 'Medium' ELSE 'Low' END AS confidence, row_number() OVER (ORDER BY rn) - 1 AS rank FROM tk2, m"""
+
+
+@query(_searched(_HYBRID, "fused", 6))
+def hybrid_search_rerank_off(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search by fusion and boosts alone."""
     hits = ranking.search(fx.with_vectors(spark, d), TERMS, _query_vector(spark, d), K, "FLOW")
     return _long(hits.withColumn("score", F.round("score", 6)), "rank")
 
 
-@query(f"""WITH RECURSIVE {fx.CHUNKS}, {_HITS}, top AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank DESC, start_line, id) AS n FROM hits QUALIFY n <= 20),
+_MEAN = "list_transform(range(1, 17), lambda i: (m[1][i] + m[2][i] + m[3][i] + m[4][i]) / 4)"
+_TOKENS = f"""{_ROWS}, tokq AS (SELECT [q[1:16], q[17:32], q[33:48], q[49:64]] AS m FROM q), pq AS (SELECT {_MEAN} AS v FROM tokq),
+    tokd AS (SELECT vec_id * 1000 AS id, {_MEAN} AS v, list_transform(m, lambda w: list_transform(w, lambda x: floor(x / top * 127 + 0.5) * top / 127)) AS z FROM r),
+    tz AS (SELECT id, list_cosine_similarity(tokd.v, pq.v) AS ps, list_sum(list_transform(tokq.m, lambda a: list_max(list_transform(z, lambda b: list_dot_product(a, b))))) AS ms FROM tokd, tokq, pq)"""
+_RERANKED = _STAGED.replace("CASE WHEN c.doc_id % 3 = 0 THEN NULL ELSE c.doc_id % 97 END AS pooled_score", "tz.ps AS pooled_score, coalesce(tz.ms, 0) AS ms").replace("JOIN chunks c USING (id) WHERE", "JOIN chunks c USING (id) LEFT JOIN tz USING (id) WHERE").replace(", s1 AS (", f", {_TOKENS}, s1 AS (")
+
+
+@query(_searched(_RERANKED, "ms", 4))
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: full text and vector candidates, fusion, pooled stage, late interaction, boosts, diversity, calibration."""
+    v = _query_vector(spark, d)
+    hits = ranking.search(fx.with_tokens(spark, d), TERMS, v, K, "FLOW", query_tokens=[v[i : i + 16] for i in range(0, 64, 16)])
+    return _long(hits.withColumn("score", F.round("score", 4)), "rank")
+
+
+@query(f"""WITH RECURSIVE {fx.CHUNKS}, {_HITS}, top AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank DESC, start_line, id) AS n FROM hits QUALIFY n <= 1000),
     o AS (SELECT path, list({{'s': start_line, 'e': end_line}} ORDER BY start_line, n) AS h FROM top GROUP BY path),
     g AS (SELECT path, h, 1 AS n, h[1].s AS s, h[1].e AS e, 1 AS c, 0 AS done FROM o
           UNION ALL SELECT path, h, n + 1, CASE WHEN h[n + 1].s <= e + 10 THEN s ELSE h[n + 1].s END, h[n + 1].e, CASE WHEN h[n + 1].s <= e + 10 THEN c + 1 ELSE 1 END, 0 FROM g WHERE n < len(h)),
@@ -265,7 +283,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     SELECT path, CAST(s AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line, CAST(c AS INTEGER) AS n FROM l WHERE nx IS NULL OR nx = 1""")
 def stitch(spark: SparkSession, d: str) -> DataFrame:
     hits = _hits(spark, d).withColumn("score", F.col("rank").cast("double"))
-    return present.stitch(hits, limit=20).select("path", "start_line", "end_line", "n")
+    return present.stitch(hits).select("path", "start_line", "end_line", "n")
 
 
 @query(f"""WITH {fx.CHUNKS}, {_HITS}, p AS (SELECT *, list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l, rank / 100003 AS sc FROM hits)

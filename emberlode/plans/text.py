@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import chunking, code, present
+from ..operators import chunking, code, index, present
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -51,7 +51,7 @@ def chunk_chars(spark: SparkSession, d: str) -> DataFrame:
            CASE WHEN path LIKE '%.md' THEN 'DOCS' END AS role FROM rows""")
 def chunk_split(spark: SparkSession, d: str) -> DataFrame:
     out = chunking.explode_pieces(fx.files(spark, d), chunking.split_pieces(F.col("content")), ["path"])
-    return out.withColumn("role", F.when(paths.is_doc(F.col("path")), "DOCS"))
+    return out.withColumn("role", index.doc_role(F.col("path"), F.lit(None).cast("string")))
 
 
 @query(f"""WITH {fx.SYMBOLIC}, l AS (SELECT doc_id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i FROM symbolic),
@@ -74,10 +74,7 @@ def format_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {fx.CHUNKS} SELECT id, coalesce((SELECT p.content FROM chunks p WHERE p.doc_id = c.doc_id AND p.chunk_index = c.chunk_index - 1), '') AS context_prev, coalesce((SELECT p.content FROM chunks p WHERE p.doc_id = c.doc_id AND p.chunk_index = c.chunk_index + 1), '') AS context_next FROM chunks c")
 def chunk_context(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("path").orderBy("chunk_index")
-    return fx.chunks(spark, d).select("id", F.coalesce(F.lag("content").over(w), F.lit("")).alias("context_prev"), F.coalesce(F.lead("content").over(w), F.lit("")).alias("context_next"))
+    return index.neighbours(fx.chunks(spark, d), "content").select("id", "context_prev", "context_next")
 
 
 @query(f"""WITH {fx.CHUNKS}, b AS (SELECT id, string_split(content, chr(10)) AS l FROM chunks),

@@ -17,10 +17,14 @@ FILES = "path string, content string, hash string, mtime_ms double, size bigint"
 
 
 class Rules:
-    """Ignore patterns of one folder, relative to it. Rules only add up: a folder below can't take one back."""
+    """Ignore patterns of one folder, relative to it; of those that match, the last decides, and ! takes back.
+
+    Rules of several folders only add up: a folder below can't take one back.
+    """
 
     def __init__(self, patterns: list[str]):
-        self.tests = [self._compile(p.strip()) for p in patterns if p.strip() and not p.strip().startswith(("#", "!"))]
+        kept = [p.strip() for p in patterns if p.strip() and not p.strip().startswith("#")]
+        self.tests = [(*self._compile(p.removeprefix("!").removeprefix("\\")), p.startswith("!")) for p in kept]
 
     @staticmethod
     def _compile(p: str) -> tuple[re.Pattern[str], bool]:
@@ -48,7 +52,11 @@ class Rules:
         return re.compile(("" if rooted else "(?:.*/)?") + out + r"\Z"), folder
 
     def match(self, rel: str, is_dir: bool) -> bool:
-        return any(t.match(rel) for t, folder in self.tests if is_dir or not folder)
+        out = False
+        for t, folder, back in self.tests:
+            if (is_dir or not folder) and t.match(rel):
+                out = not back
+        return out
 
 
 def walk(root: str, ignore: tuple[str, ...] = config.IGNORE, more: tuple[str, ...] = (".git",), ignore_files: tuple[str, ...] = IGNORE_FILES) -> Iterator[str]:
@@ -108,7 +116,9 @@ def read_tree(spark: SparkSession, root: str, partitions: int | None = None) ->
     """path, content, hash, mtime_ms, size of the indexable text files below root.
 
     Names are walked on the driver, contents read in the tasks (root must be a path
-    that executors see). Links to one file count once, broken links not at all.
+    that executors see). Links to one file count once, broken links not at all. A file
+    that can't be read, or changes while it is read, has a null hash and content: it was
+    seen, so a sync keeps its rows.
     """
     seen, names = set(), []
     for p in walk(root):
@@ -127,7 +137,12 @@ def read_tree(spark: SparkSession, root: str, partitions: int | None = None) ->
             rows: list[list] = [[], [], [], [], []]
             for p in b.column(0).to_pylist():
                 got = snapshot(os.path.join(root, p))
-                if got is None or is_binary(got[0]):
+                if got is None:
+                    if os.path.exists(os.path.join(root, p)):
+                        for c, v in zip(rows, (p, None, None, None, None)):
+                            c.append(v)
+                    continue
+                if is_binary(got[0]):
                     continue
                 for c, v in zip(rows, (p, got[0].decode("utf-8", "replace"), hashlib.sha256(got[0]).hexdigest(), got[1], len(got[0]))):
                     c.append(v)

