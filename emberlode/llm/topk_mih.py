@@ -1,114 +1,88 @@
-"""Exact top-k Hamming search by incremental multi-index hashing.
-
-Codes are cut into segments, each with a table from value to codes. A search
-looks up segment values at distance 0, 1, 2, ... from the query's; once all
-segments are done to radius r, every code within m (r + 1) - 1 bits has been
-seen, so it stops as soon as the k-th verified distance is no more than that.
-
-Distinct codes are dealt into blocks by hash and every block of queries meets
-every block of codes; a block returns its k nearest for each query and these are
-merged. Equal codes are one entry with its k smallest ids, so a vector that a
-third of all rows share costs no more than any other.
+"""Exact top-k Hamming search by incremental multi-index hashing, as joins.
+
+Codes are cut into segments, about as long as the number of codes has bits, and a
+table has a row for each segment value of each distinct code. A round joins the
+values at distance r from those of the queries that are still open, r = 0, 1, 2, ...,
+verifies the codes that it meets and keeps each query's k best. After radius r of all
+m segments every code within m (r + 1) - 1 bits has been seen, so a query is done as
+soon as its k-th verified distance is no more than that. Equal codes are one entry, so
+a vector that a third of all rows share costs no more than any other.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textops import parallelism
+from .textops import Rounds
 
 K = 10
-SEGMENTS, SEGMENT_BITS = 4, 16
-#: Codes of a block at most, and queries.
-CODE_BLOCK, QUERY_BLOCK = 1 << 17, 1 << 13
-_ONES = np.array([bin(i).count("1") for i in range(1 << SEGMENT_BITS)], np.uint8)
+#: Bits of a code, and of a segment at most.
+BITS, SEGMENT_BITS = 64, 16
 
 
 def sign_code(embedding: Column) -> Column:
-    """64-bit code: bit i is set where coordinate i is positive. Null for null; at most 64 coordinates."""
+    """64-bit code: bit i is set where coordinate i is positive. Null for null; more than 64 coordinates are an error."""
     bits = F.transform(embedding, lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
     code = F.aggregate(F.transform(bits, lambda b, i: F.call_function("shiftleft", b, i)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return F.when(F.size(embedding) <= 64, code)
+    return F.when(F.size(embedding) <= BITS, code).when(embedding.isNotNull(), F.raise_error(F.lit(f"a vector has more than {BITS} coordinates")).cast("long"))
 
 
-class Segments:
-    """Tables of one block of distinct codes; ids: at most k ids of each, ascending."""
+def segments(n: int, bits: int | None = None) -> list[tuple[int, int]]:
+    """(first bit, bits) of each segment for n codes."""
+    bits = bits or max(4, min(SEGMENT_BITS, math.ceil(math.log2(n + 1))))
+    m = -(-BITS // bits)
+    widths = [BITS // m + (s < BITS % m) for s in range(m)]
+    return [(sum(widths[:s]), w) for s, w in enumerate(widths)]
 
-    def __init__(self, codes: np.ndarray, ids: list[list[int]]):
-        self.codes = codes
-        self.first = np.array([i[0] for i in ids], np.int64)
-        self.ids = ids
-        self.many = np.array([len(i) for i in ids], np.int64)
-        parts = codes.view(np.uint16).reshape(-1, SEGMENTS)
-        self.tables = []
-        for s in range(SEGMENTS):
-            order = np.argsort(parts[:, s], kind="stable")
-            value, at = np.unique(parts[order, s], return_index=True)
-            self.tables.append((order, value, np.append(at, len(codes))))
 
-    def nearest(self, query: np.uint64, k: int) -> list[tuple[int, int]]:
-        """(distance, id) of the k nearest, by distance then id."""
-        own = np.array([query], np.uint64).view(np.uint16)
-        seen = np.zeros(len(self.codes), bool)
-        shells = []
-        for (_, value, _), q in zip(self.tables, own):
-            d = _ONES[value ^ q]
-            by = np.argsort(d, kind="stable")
-            shells.append((by, np.searchsorted(d[by], np.arange(SEGMENT_BITS + 2))))
-        found, dist = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for r in range(SEGMENT_BITS + 1):
-            new = []
-            for (order, _, at), (by, edge) in zip(self.tables, shells):
-                for v in by[edge[r] : edge[r + 1]]:
-                    new.append(order[at[v] : at[v + 1]])
-            if new:
-                c = np.concatenate(new)
-                c = np.unique(c[~seen[c]])
-                seen[c] = True
-                x = (self.codes[c] ^ query).view(np.uint16).reshape(-1, SEGMENTS)
-                found, dist = np.concatenate([found, c]), np.concatenate([dist, _ONES[x].sum(1, dtype=np.int64)])
-            by_d = np.argsort(dist, kind="stable")
-            have = np.cumsum(self.many[found[by_d]])
-            if len(found) == len(self.codes) or len(have) and have[-1] >= k and dist[by_d[np.searchsorted(have, k)]] <= SEGMENTS * (r + 1) - 1:
-                break
-        best = np.lexsort((self.first[found], dist))[:k]
-        rows = sorted((int(dist[b]), i) for b in best for i in self.ids[found[b]])
-        return rows[:k]
+def _values(codes: DataFrame, cuts: list[tuple[int, int]], *more: str) -> DataFrame:
+    """A row for each segment of each code: seg, width, value."""
+    each = F.array(*[F.struct(F.lit(s).alias("seg"), F.lit(w).alias("width"), F.shiftrightunsigned("code", at).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for s, (at, w) in enumerate(cuts)])
+    return codes.select("code", *more, F.explode(each).alias("s")).select("code", *more, "s.*")
 
 
-def nearest(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def nearest(codes: DataFrame, queries: DataFrame, k: int = K, bits: int | None = None) -> DataFrame:
     """The k rows of codes(id, code) nearest to each row of queries(id, code).
 
     Returns query_id, rank (from 1), id, distance; ties by the smaller id. Rows with a
     null id or code are left out. A query that is itself among the codes finds
-    itself. Repeated rows with the same id and code count once. Fewer than k codes
-    give fewer rows, an empty table none. Other columns are ignored.
+    itself. Repeated rows with the same id and code count once; an id with several codes
+    is a candidate, or a query, by each of them. Fewer than k codes give fewer rows, an
+    empty table none. Other columns are ignored.
     """
+    spark = codes.sparkSession
+    rounds = Rounds(spark)
     c = codes.select(F.col("id").cast("long").alias("id"), F.col("code").cast("long").alias("code")).where("id is not null and code is not null").distinct()
     q = queries.select(F.col("id").cast("long").alias("query_id"), F.col("code").cast("long").alias("code")).where("query_id is not null and code is not null").distinct()
     some = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    entries = c.withColumn("r", some).where(F.col("r") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    asked = q.select("code").distinct()
-    spark = codes.sparkSession
-    blocks = max(parallelism(spark), -(-entries.count() // CODE_BLOCK))
-    sides = max(1, -(-asked.count() // QUERY_BLOCK))
-    left = entries.select((F.pmod(F.xxhash64("code"), F.lit(blocks)) * sides).cast("int").alias("i"), "code", "ids").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))).select((F.col("i") + F.col("j")).alias("cell"), "code", "ids")
-    right = asked.select(F.pmod(F.xxhash64("code", F.lit(1)), F.lit(sides)).cast("int").alias("j"), "code").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((F.col("j") + F.col("i") * sides).alias("cell"), "code")
-
-    def search(codes_: pa.Table, asked_: pa.Table) -> pa.Table:
-        out: list[list[int]] = [[], [], []]
-        if len(codes_) and len(asked_):
-            index = Segments(codes_["code"].to_numpy().view(np.uint64), codes_["ids"].to_pylist())
-            for code in asked_["code"].to_pylist():
-                for d, i in index.nearest(np.int64(code).view(np.uint64), k):
-                    for col, v in zip(out, (code, i, d)):
-                        col.append(v)
-        return pa.table({"code": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.int32())})
-
-    near = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(search, "code long, id long, distance int")
+    entries = rounds.put(c.withColumn("r", some).where(F.col("r") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    n = entries.count()
+    cuts = segments(n, bits)
+    light = entries.select("code", F.element_at("ids", 1).alias("first"), F.size("ids").alias("many"))
+    table = rounds.put(_values(light, cuts, "first", "many"))
+    open_ = rounds.put(q.select("code").distinct())
+    best, r = None, 0
+    while n and not open_.isEmpty():
+        # at most 2 ** SEGMENT_BITS numbers a width
+        masks = spark.createDataFrame([(w, x) for w in {w for _, w in cuts} for x in range(1 << w) if x.bit_count() == r], "width int, mask long")
+        probes = _values(open_, cuts).join(F.broadcast(masks), "width").select(F.col("code").alias("q"), "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        met = probes.join(table.drop("width"), ["seg", "value"]).select("q", "code", "first", "many", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")).distinct()
+        place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "first"))
+        every = met if best is None else best.unionByName(met).distinct()
+        now = rounds.put(every.withColumn("r", place).where(F.col("r") <= k).drop("r"))
+        have = F.sum("many").over(Window.partitionBy("q").orderBy("distance", "first"))
+        proven = now.withColumn("have", have).groupBy("q").agg(F.count(F.lit(1)).alias("found"), F.min(F.when(F.col("have") >= k, F.col("distance"))).alias("kth"))
+        done = proven.where((F.col("kth") <= len(cuts) * (r + 1) - 1) | (F.col("found") == n)).select(F.col("q").alias("code"))
+        left = rounds.put(open_.join(done, "code", "left_anti")) if r < max(w for _, w in cuts) else open_.where("false")
+        old, best, was, open_ = best, now, open_, left
+        rounds.drop(old, was)
+        r += 1
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, id long, distance int")
+    near = best.join(entries, "code").select(F.col("q").alias("code"), F.explode("ids").alias("id"), F.col("distance").cast("int").alias("distance"))
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return q.join(near, "code").select("query_id", "rank", "id", "distance")

@@ -300,6 +300,11 @@ def test_topk(spark):
     want = {(i, r + 1, j, d) for i, c in real for r, (d, j) in enumerate(sorted((bin((c ^ e) & (2**64 - 1)).count("1"), j) for j, e in real)[:7])}
     assert {tuple(r) for r in topk_mih.nearest(df, df, 7).collect()} == want
     assert topk_mih.nearest(df.where("false"), df).count() == 0
+    assert {tuple(r) for r in topk_mih.nearest(df, df.where("id % 50 = 0"), 7, bits=5).collect()} == {x for x in want if x[0] % 50 == 0}
+    few = spark.createDataFrame([(1, 5), (2, 5), (3, -1), (1, 5), (1, 6)], "id long, code long")
+    assert {tuple(r) for r in topk_mih.nearest(few, few.where("id = 2")).collect()} == {(2, 1, 1, 0), (2, 2, 2, 0), (2, 3, 1, 2), (2, 4, 3, 62)}
+    with pytest.raises(Exception, match="64 coordinates"):
+        spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(topk_mih.sign_code(F.col("v"))).collect()
     v = spark.createDataFrame([([1.0, -1.0, 0.5],), (None,), ([0.0] * 63 + [1.0],)], "v array<double>")
     assert [r[0] for r in v.select(topk_mih.sign_code(F.col("v"))).collect()] == [5, None, -(1 << 63)]
 
