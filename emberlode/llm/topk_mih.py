@@ -2,8 +2,8 @@
 
 Codes are cut into segments, about as long as the number of codes has bits, and a
 table has a row for each segment value of each distinct code. A round joins the
-values at distance r from those of the queries that are still open, r = 0, 1, 2, ...,
-verifies the codes that it meets and keeps each query's k best. After radius r of all
+values at distance r from those of the queries that are still open, r growing by one
+after a first round of the smallest, verifies the codes that it meets and keeps each query's k best. After radius r of all
 m segments every code within m (r + 1) - 1 bits has been seen, so a query is done as
 soon as its k-th verified distance is no more than that. Equal codes are one entry, so
 a vector that a third of all rows share costs no more than any other.
@@ -22,6 +22,8 @@ from .textops import Rounds
 K = 10
 #: Bits of a code, and of a segment at most.
 BITS, SEGMENT_BITS = 64, 16
+#: Values of a segment that the first round asks for at most.
+FIRST = 256
 
 
 def sign_code(embedding: Column) -> Column:
@@ -65,10 +67,12 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, bits: int | None =
     light = entries.select("code", F.element_at("ids", 1).alias("first"), F.size("ids").alias("many"))
     table = rounds.put(_values(light, cuts, "first", "many"))
     open_ = rounds.put(q.select("code").distinct())
-    best, r = None, 0
+    # near shells are small: the first round takes all that have FIRST values together
+    widest = max(w for _, w in cuts)
+    best, low, r = None, 0, max(r for r in range(widest + 1) if sum(math.comb(widest, i) for i in range(r + 1)) <= FIRST)
     while n and not open_.isEmpty():
         # at most 2 ** SEGMENT_BITS numbers a width
-        masks = spark.createDataFrame([(w, x) for w in {w for _, w in cuts} for x in range(1 << w) if x.bit_count() == r], "width int, mask long")
+        masks = spark.createDataFrame([(w, x) for w in {w for _, w in cuts} for x in range(1 << w) if low <= x.bit_count() <= r], "width int, mask long")
         probes = _values(open_, cuts).join(F.broadcast(masks), "width").select(F.col("code").alias("q"), "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         met = probes.join(table.drop("width"), ["seg", "value"]).select("q", "code", "first", "many", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")).distinct()
         place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "first"))
@@ -77,10 +81,10 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, bits: int | None =
         have = F.sum("many").over(Window.partitionBy("q").orderBy("distance", "first"))
         proven = now.withColumn("have", have).groupBy("q").agg(F.count(F.lit(1)).alias("found"), F.min(F.when(F.col("have") >= k, F.col("distance"))).alias("kth"))
         done = proven.where((F.col("kth") <= len(cuts) * (r + 1) - 1) | (F.col("found") == n)).select(F.col("q").alias("code"))
-        left = rounds.put(open_.join(done, "code", "left_anti")) if r < max(w for _, w in cuts) else open_.where("false")
+        left = rounds.put(open_.join(done, "code", "left_anti")) if r < widest else open_.where("false")
         old, best, was, open_ = best, now, open_, left
         rounds.drop(old, was)
-        r += 1
+        low = r = r + 1
     if best is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, distance int")
     near = best.join(entries, "code").select(F.col("q").alias("code"), F.explode("ids").alias("id"), F.col("distance").cast("int").alias("distance"))
