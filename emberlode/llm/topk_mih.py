@@ -5,7 +5,9 @@ table has a row for each segment value of each distinct code. A round joins the
 values at distance r from those of the queries that are still open, r growing by one
 after a first round of the smallest, verifies the codes that it meets and keeps each query's k best. After radius r of all
 m segments every code within m (r + 1) - 1 bits has been seen, so a query is done as
-soon as its k-th verified distance is no more than that. Equal codes are one entry, so
+soon as its k-th verified distance is no more than that. With k-th distance d, codes
+within d bits are at r or less in one of the first d - m r + 1 segments or at r - 1 in
+another, so round r asks only those segments, and only codes within d bits are kept. Equal codes are one entry, so
 a vector that a third of all rows share costs no more than any other.
 """
 
@@ -66,22 +68,25 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = K, bits: int | None =
     cuts = segments(n, bits)
     light = entries.select("code", F.element_at("ids", 1).alias("first"), F.size("ids").alias("many"))
     table = rounds.put(_values(light, cuts, "first", "many"))
-    open_ = rounds.put(q.select("code").distinct())
+    open_ = rounds.put(q.select("code", F.lit(None).cast("int").alias("kth")).distinct())
     # near shells are small: the first round takes all that have FIRST values together
     widest = max(w for _, w in cuts)
     best, low, r = None, 0, max(r for r in range(widest + 1) if sum(math.comb(widest, i) for i in range(r + 1)) <= FIRST)
     while n and not open_.isEmpty():
         # at most 2 ** SEGMENT_BITS numbers a width
         masks = spark.createDataFrame([(w, x) for w in {w for _, w in cuts} for x in range(1 << w) if low <= x.bit_count() <= r], "width int, mask long")
-        probes = _values(open_, cuts).join(F.broadcast(masks), "width").select(F.col("code").alias("q"), "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        met = probes.join(table.drop("width"), ["seg", "value"]).select("q", "code", "first", "many", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")).distinct()
+        # kth is null in the first round, and while a query has met fewer than k rows
+        asked = _values(open_, cuts, "kth").where(F.col("kth").isNull() | (F.col("seg") <= F.col("kth") - len(cuts) * r))
+        probes = asked.join(F.broadcast(masks), "width").select(F.col("code").alias("q"), "kth", "seg", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        met = probes.join(table.drop("width"), ["seg", "value"]).select("q", "kth", "code", "first", "many", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        met = met.where(F.col("kth").isNull() | (F.col("distance") <= F.col("kth"))).drop("kth").distinct()
         place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "first"))
         every = met if best is None else best.unionByName(met).distinct()
         now = rounds.put(every.withColumn("r", place).where(F.col("r") <= k).drop("r"))
         have = F.sum("many").over(Window.partitionBy("q").orderBy("distance", "first"))
         proven = now.withColumn("have", have).groupBy("q").agg(F.count(F.lit(1)).alias("found"), F.min(F.when(F.col("have") >= k, F.col("distance"))).alias("kth"))
-        done = proven.where((F.col("kth") <= len(cuts) * (r + 1) - 1) | (F.col("found") == n)).select(F.col("q").alias("code"))
-        left = rounds.put(open_.join(done, "code", "left_anti")) if r < widest else open_.where("false")
+        proven = proven.select(F.col("q").alias("code"), "kth", F.coalesce((F.col("kth") <= len(cuts) * (r + 1) - 1) | (F.col("found") == n), F.lit(False)).alias("done"))
+        left = rounds.put(open_.drop("kth").join(proven, "code", "left").where("done is null or not done").select("code", F.col("kth").cast("int").alias("kth"))) if r < widest else open_.where("false")
         old, best, was, open_ = best, now, open_, left
         rounds.drop(old, was)
         low = r = r + 1
