@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import blocks
 from .textops import LOWER, doc_blocks, mix, word_hashes
@@ -66,24 +67,22 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, order: int = 2) -> DataFram
     names = [f"n_{k}grams_seen" for k in range(order, 2, -1)] + ["n_pairs_seen", "n_words_seen"]
     n = blocks.n_batches(docs)
     texts = blocks.batched(docs, n)
+    total = docs.agg(F.sum(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
 
     def keys_of(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.unique(np.concatenate([g[g != 0] for g in grams]), return_inverse=True, return_counts=True)
 
     def ask(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         k, _, count = keys_of(_grams(t, order)[0])
-        return blocks.ask(int(key[0].as_py()), k, count.astype(np.int64), n, every=True)
+        return blocks.ask(int(key[0].as_py()), k, count.astype(np.int64), n)
 
     def add(group, start, vals, by_key) -> np.ndarray:
         return np.add.reduceat(by_key, start)[group].astype(np.int64)
 
-    def n_words(keys, vals) -> int:
-        return int(vals[(keys & np.uint64(1)) == 1].sum())
-
     def score(key, t: pa.Table, answers: pa.Table) -> pa.Table:
         grams, off = _grams(t, order)
         k, inv, _ = keys_of(grams)
-        count, total = blocks.collect_answers(answers, np.int64)
+        count = blocks.collect_answers(answers, np.int64)
         rows = len(off) - 1
         size = np.diff(off)
         row = np.repeat(np.arange(rows), size)
@@ -108,5 +107,5 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, order: int = 2) -> DataFram
         by = {name: whole(sums((seen == order - i).astype(float))) for i, name in enumerate(names)}
         return pa.table({"doc_id": t["doc_id"], "n_words": whole(size)} | by | {"log_score": pa.array(sums(s), pa.float64())})
 
-    answers = blocks.answered(texts.groupBy("b").applyInArrow(ask, blocks.BLOCK_SCHEMA), np.int64, add, n_words)
+    answers = blocks.answered(texts.groupBy("b").applyInArrow(ask, blocks.BLOCK_SCHEMA), np.int64, add)
     return texts.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(score, f"doc_id long, n_words long, {', '.join(f'{x} long' for x in names)}, log_score double")

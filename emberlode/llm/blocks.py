@@ -5,7 +5,8 @@ its distinct 64-bit keys in one block for each hash partition; the partition's
 task answers every block with one value a key, in the block's order; the batch,
 whose texts come from the same shuffle again, joins the answers to its
 occurrences. A key stands once in a batch however often it occurs, so no key is
-hot, and a task's memory follows total keys / partitions.
+hot. Batches have about BATCH_BYTES of text and partitions the keys of as much, at
+every size; with more and more of both a block thins out to the row of one key.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .textops import text_buffer
 
-#: Text of a batch, and the least text that a block stands for.
-BATCH_BYTES, BLOCK_BYTES = 4 << 20, 1 << 10
+#: Text of a batch.
+BATCH_BYTES = 4 << 20
 BLOCK_SCHEMA = "p int, b int, keys binary, vals binary"
 ANSWER_SCHEMA = "b int, p int, vals binary, total long"
 
@@ -88,27 +89,19 @@ def batch_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def n_batches(docs: DataFrame) -> int:
-    """Batches, and hash partitions, for the texts of docs: by their bytes, not by the cluster's size.
-
-    A batch has about BATCH_BYTES of text. Batches times partitions are the blocks;
-    where these would stand for less than BLOCK_BYTES of text each, batches grow
-    instead, so blocks grow in proportion to the text and not with its square.
-    """
+    """Batches, and hash partitions, for the texts of docs: by their bytes, not by the cluster's size."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return max(1, min(math.ceil(size / BATCH_BYTES), math.ceil(math.sqrt(size / BLOCK_BYTES))))
+    return max(1, math.ceil(size / BATCH_BYTES))
 
 
-def ask(b: int, keys: np.ndarray, vals: np.ndarray, parts: int, every: bool = False) -> pa.Table:
-    """One block a partition for ascending, distinct keys with a value each.
-
-    every: partitions without a key get an empty block, for their totals.
-    """
+def ask(b: int, keys: np.ndarray, vals: np.ndarray, parts: int) -> pa.Table:
+    """One block for each partition that has any of the ascending, distinct keys, which have a value each."""
     at = borders(keys, parts)
-    full = [p for p in range(parts) if every or at[p + 1] > at[p]]
+    full = np.flatnonzero(np.diff(at)).tolist()
     return pa.table({"p": pa.array(full, pa.int32()), "b": pa.array([b] * len(full), pa.int32()), "keys": pa.array([pack_sorted(keys[at[p] : at[p + 1]]) for p in full], pa.binary()), "vals": pa.array([planes(vals[at[p] : at[p + 1]]) for p in full], pa.binary())})
 
 
-def answered(asked: DataFrame, kind, combine: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray], total: Callable[[np.ndarray, np.ndarray], int] | None = None) -> DataFrame:
+def answered(asked: DataFrame, kind, combine: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:
     """Answer all blocks of each partition.
 
     combine(group, key starts, values sorted by key, keys) -> for every asked key,
@@ -127,15 +120,14 @@ def answered(asked: DataFrame, kind, combine: Callable[[np.ndarray, np.ndarray,
         group[order] = of_sorted
         out = combine(group, first, vals, vals[order]) if len(s) else vals
         cut = np.cumsum([0, *map(len, keys)])
-        n = total(each, vals) if total else 0
-        return pa.table({"b": t["b"].cast(pa.int32()), "p": t["p"].cast(pa.int32()), "vals": pa.array([planes(out[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary()), "total": pa.array([n] * len(t), pa.int64())})
+        return pa.table({"b": t["b"].cast(pa.int32()), "p": t["p"].cast(pa.int32()), "vals": pa.array([planes(out[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary()), "total": pa.array([0] * len(t), pa.int64())})
 
     return asked.groupBy("p").applyInArrow(reply, ANSWER_SCHEMA)
 
 
-def collect_answers(t: pa.Table, kind) -> tuple[np.ndarray, int]:
-    """Answers of a batch in the order of its ascending keys, and the partitions' sum of totals."""
+def collect_answers(t: pa.Table, kind) -> np.ndarray:
+    """Answers of a batch in the order of its ascending keys."""
     if not len(t):
-        return np.zeros(0, kind), 0
+        return np.zeros(0, kind)
     t = t.sort_by("p")
-    return np.concatenate([unplanes(x, kind) for x in t["vals"].to_pylist()]), int(sum(t["total"].to_pylist()))
+    return np.concatenate([unplanes(x, kind) for x in t["vals"].to_pylist()])

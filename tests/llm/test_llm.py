@@ -219,15 +219,13 @@ def batch_bytes(request, monkeypatch):
     """One batch as in production for little text, and many small ones."""
     if request.param:
         monkeypatch.setattr(blocks, "BATCH_BYTES", request.param)
-        monkeypatch.setattr(blocks, "BLOCK_BYTES", 1)
 
 
 def test_batches_follow_the_bytes(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BATCH_BYTES", 100)
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", 10)
     size = lambda *t: blocks.n_batches(spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string"))
     assert size() == size(None) == size("") == 1
-    assert size("a" * 450) == 5 and size("a" * 4000) == 20
+    assert size("a" * 450) == 5 and size("a" * 4000) == 40
 
 
 def test_repeated_strings(spark, batch_bytes, docs):
