@@ -184,20 +184,21 @@ class Rounds:
         self._fs = self._path(self.at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.at))
         self._fs.deleteOnExit(self._path(self.at))
-        self._where: dict[int, str] = {}
+        # tables are held with their folders: a freed one's id might be given to another
+        self._where: dict[int, tuple[DataFrame, str]] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
         where, self.n = f"{self.at}/{self.n}", self.n + 1
         df.write.option("compression", "zstd").parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
-        self._where[id(out)] = where
+        self._where[id(out)] = out, where
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Delete tables that put returned, and let the driver free finished jobs' shuffle files."""
+        """Delete tables that put returned, not others, and let the driver free finished jobs' shuffle files."""
         for t in tables:
-            if t is not None and (where := self._where.pop(id(t), None)):
-                self._fs.delete(self._path(where), True)
+            if t is not None and id(t) in self._where:
+                self._fs.delete(self._path(self._where.pop(id(t))[1]), True)
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

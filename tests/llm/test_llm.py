@@ -375,6 +375,17 @@ def test_long_texts_in_blocks():
     assert all(one.setdefault(x, y) == y for x, y in zip(w, h.tolist())) and len(set(one.values())) == len(one)
 
 
+def test_rounds_drop_their_own_tables_alone(spark):
+    rounds = textops.Rounds(spark)
+    kept = [rounds.put(spark.range(i)).where("id >= 0") for i in range(1, 4)]
+    for i in range(200):
+        rounds.drop(kept[i % 3].where("id > 5"))
+    assert [t.count() for t in kept] == [1, 2, 3]
+    gone = rounds.put(spark.range(3))
+    rounds.drop(gone)
+    assert len(rounds._where) == 3
+
+
 def test_block_codec():
     k = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (blocks.unpack_sorted(blocks.pack_sorted(k)) == k).all() and len(blocks.unpack_sorted(b"")) == 0
