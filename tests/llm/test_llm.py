@@ -247,6 +247,29 @@ def test_repeated_strings(spark, batch_bytes, docs):
     assert suffix.repeated(empty(spark)).count() == 0
 
 
+def test_repeated_strings_across_the_steps_of_a_long_text(spark):
+    rng = np.random.default_rng(5)
+    noise = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    passage, step = noise(400), suffix.STEP
+    one = noise(step - 200) + passage + noise(1000) + b"ab" * 300
+    two = noise(500) + passage[:333] + noise(step - 900) + b"ba" * 200 + passage[77:] + noise(60)
+    rows = [(2, one), (5, two), (5, passage[10:300]), (9, passage[11:60] + noise(3) + b"b" + b"ab" * 25)]
+    first = {}
+    for d, b in rows:
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(d, first.get(b[i : i + 50], d))
+    want = []
+    for d, b in rows:
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        want.append((d, len(b), sum(gone), hashlib.sha256(bytes(x for x, y in zip(b, gone) if not y)).hexdigest()))
+    made = spark.createDataFrame([(d, b.decode()) for d, b in rows], "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.repeated(made).collect()]
+    assert Counter(got) == Counter(want) and want[1][2] > 700 and want[3][2] == 51
+
+
 def test_backoff(spark, batch_bytes, docs, texts):
     words = [low(t) for _, t in texts]
     c1, c2, n = Counter(), Counter(), sum(map(len, words))
