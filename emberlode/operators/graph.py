@@ -48,10 +48,14 @@ def callees(chunks: DataFrame, symbol: str) -> DataFrame:
 
 def one_hop(chunks: DataFrame, symbol: str) -> DataFrame:
     """kind (caller, center, callee), symbol, path, line."""
-    c = center(chunks, symbol)
+    return hops(callers(chunks, symbol), center(chunks, symbol))
+
+
+def hops(up: DataFrame, c: DataFrame) -> DataFrame:
+    """One table of callers, a center and what it calls."""
     some = lambda df, kind: df.select(F.lit(kind).alias("kind"), "symbol", "path", "line")
     down = c.select(F.explode("calls").alias("symbol")).select("symbol", F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"))
-    return some(callers(chunks, symbol), "caller").unionByName(some(c, "center")).unionByName(some(down, "callee"))
+    return some(up, "caller").unionByName(some(c, "center")).unionByName(some(down, "callee"))
 
 
 def trace_text(rows: DataFrame) -> str:

@@ -1,47 +1,69 @@
-"""The index: a tree's files to the chunks table, its sync, and a stored full-text index.
+"""The index: a tree's files to the chunks table, kept in step by segments.
 
-    files -> diff -> definitions or line windows -> anchor -> display text -> neighbours -> vectors -> chunks
+    listing -> files that differ -> read once -> definitions or windows -> anchor -> vectors -> segment
 
-The chunks table is dealt into folders by a hash of the path, so a sync rewrites
-only the folders of the files that changed. The full-text index is dealt and sorted
-by term, so a search reads its own terms.
+Each build writes what is new or changed as a segment: chunks sorted by path and
+numbered, posting blocks, and symbols, none of which is changed later. What left is
+named by (segment, number). Segments of like size are merged, and those of which a
+fifth has left are rewritten, so a build's work follows what changed. A version
+(store.Store) names the segments that count.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import paths
+from ..sources import files as sources
 from ..sources import providers
-from . import chunking, code, ranking, sync
+from . import chunking, code, fulltext, graph, ranking, symbols, sync
+from .store import Store
 
-BUCKETS = 64
+#: Bytes of content for each task that writes a segment, and for each folder of terms or symbols.
+TASK_BYTES, FOLDER_BYTES, MOST_FOLDERS = 64 << 20, 64 << 20, 4096
+#: Segments of a tier (a power of ten of chunks) that are merged, and the share that has left at which one is rewritten.
+MERGE, LEFT = 8, 0.2
 CHUNKS = (
     "id string, path string, hash string, content string, display_text string, start_line int, end_line int, vector array<float>, chunk_index int, is_anchor boolean, context_prev string, context_next string, "
-    "chunk_type string, complexity float, is_exported boolean, colbert binary, colbert_scale double, pooled array<float>, defined_symbols array<string>, referenced_symbols array<string>, "
+    "chunk_type string, complexity float, is_exported boolean, colbert binary, colbert_scale double, pooled array<float>, doc_token_ids array<int>, defined_symbols array<string>, referenced_symbols array<string>, "
     "imports array<string>, exports array<string>, role string, parent_symbol string, file_skeleton string"
 )
-FILES = "path string, hash string, mtime_ms double, size bigint"
+COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
+#: A chunk in a segment: its number there, the number of its terms, and the folder of its part.
+STORED = CHUNKS + ", segment string, doc long, n_terms int, part int"
+FILES = "path string, hash string, mtime_ms double, size bigint, indexed boolean"
+GONE = "segment string, doc long, path string"
+GONE_TERMS = "segment string, term string, n long"
 
+_PIECE = [("content", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("chunk_type", pa.string()), ("complexity", pa.float32()), ("is_exported", pa.bool_()), ("defined_symbols", pa.list_(pa.string())), ("referenced_symbols", pa.list_(pa.string())), ("role", pa.string()), ("parent_symbol", pa.string()), ("context", pa.list_(pa.string())), ("docstring", pa.string())]
+PIECE = "content string, start_line int, end_line int, chunk_type string, complexity float, is_exported boolean, defined_symbols array<string>, referenced_symbols array<string>, role string, parent_symbol string, context array<string>, docstring string"
 
-def facts(files: DataFrame) -> DataFrame:
-    """path, imports, exports, comments and, where it has definitions, the skeleton of each file."""
+
+def analysed(files: DataFrame) -> DataFrame:
+    """files(path, content, hash) with imports, exports, comments, file_skeleton and pieces (its definitions), in one stage."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [(p or "", t or "") for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             told = [code.file_facts(*x) for x in texts]
+            pieces = [[(c.content, c.start_line, c.end_line, c.chunk_type, float(c.complexity), c.exported, [c.name] if c.name else [], c.references, c.role, c.parent or None, c.context, c.docstring) for c in code.definitions(*x)] for x in texts]
             cols = [pa.array([t[i] for t in told], pa.list_(pa.string())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([code.skeleton(*x) for x in texts], pa.string())], names=["path", "imports", "exports", "comments", "file_skeleton"])
+            made = pa.array([[dict(zip((n for n, _ in _PIECE), p)) for p in ps] for ps in pieces], pa.list_(pa.struct(_PIECE)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols, pa.array([code.skeleton(*x) for x in texts], pa.string()), made], names=["path", "content", "hash", "imports", "exports", "comments", "file_skeleton", "pieces"])
 
-    return files.select("path", "content").mapInArrow(rows, "path string, imports array<string>, exports array<string>, comments array<string>, file_skeleton string")
+    named = ", ".join(f"{c.split(' ', 1)[0]}: {c.split(' ', 1)[1]}" for c in PIECE.split(", "))
+    return files.select("path", "content", "hash").mapInArrow(rows, f"path string, content string, hash string, imports array<string>, exports array<string>, comments array<string>, file_skeleton string, pieces array<struct<{named}>>")
 
 
 def neighbours(chunks: DataFrame, text: str = "display_text") -> DataFrame:
@@ -55,141 +77,373 @@ def doc_role(path: Column, role: Column) -> Column:
     return F.when(paths.is_doc(path), "DOCS").otherwise(role)
 
 
-def chunk_files(files: DataFrame, embed: Callable[[], providers.Embed] | None = None, dim: int = 384) -> DataFrame:
+def _piece(p: Column, content: Column, start: Column, end: Column) -> Column:
+    """A piece with another text and place."""
+    changed = {"content": content, "start_line": start, "end_line": end}
+    return F.struct(*[changed.get(n, p[n]).alias(n) for n, _ in _PIECE])
+
+
+def _block(content: Column, start: Column, end: Column) -> Column:
+    """A piece that defines nothing."""
+    none = F.array().cast("array<string>")
+    plain = {"content": content, "start_line": start.cast("int"), "end_line": end.cast("int"), "chunk_type": F.lit("block"), "complexity": F.lit(None).cast("float"), "is_exported": F.lit(False), "defined_symbols": none, "referenced_symbols": none, "role": F.lit(None).cast("string"), "parent_symbol": F.lit(None).cast("string"), "context": none, "docstring": F.lit("")}
+    return F.struct(*[plain[n].alias(n) for n, _ in _PIECE])
+
+
+def chunk_files(files: DataFrame, embed: Callable[[], providers.Embed] | None = None, dim: int = 384, tokens: Callable[[], providers.TokenModel] | None = None) -> DataFrame:
     """Rows of the chunks table for files(path, content, hash).
 
     A file with definitions gives them and what lies between, cut to size; others give
     line windows, and large data files none. Each file has an anchor of index -1. Null
-    content is an empty file. embed makes the embedder in each task; without one vectors
-    are null.
+    content is an empty file. embed makes the embedder in each task, tokens the token
+    model; without them the vectors, or the token matrices, are null. All of it is one
+    narrow pass: a file's chunks are made where the file is.
     """
-    files = files.select("path", "hash", F.coalesce("content", F.lit("")).alias("content"))
-    parsed = code.parse(files)
-    cut = parsed.select("path", "chunk_type", "complexity", "is_exported", "defined_symbols", "referenced_symbols", "role", "parent_symbol", "context", "docstring", F.col("chunk_index").alias("_c"), F.col("start_line").alias("_s"), F.explode(chunking.split_pieces(F.col("content"))).alias("_p"))
-    cut = cut.select("path", "chunk_type", "complexity", "is_exported", "defined_symbols", "referenced_symbols", "role", "parent_symbol", "context", "docstring", "_c", "_p.content", (F.col("_s") + F.col("_p.start_line")).alias("start_line"), (F.col("_s") + F.col("_p.end_line")).alias("end_line"))
-    none = F.array().cast("array<string>")
-    rest = files.join(parsed.select("path").distinct(), "path", "left_anti").where(~paths.is_large_data(F.col("path"), F.col("content")))
-    windows = rest.select("path", F.posexplode(F.filter(F.flatten(F.transform(chunking.line_pieces(F.col("content")), lambda p: F.when(F.length(p["content"]) > config.CHUNK_CHARS, chunking.char_pieces(p["content"], p["start_line"])).otherwise(F.array(p)))), lambda p: p["content"].rlike(r"\S"))).alias("_c", "_p"))
-    windows = windows.select("path", F.lit("block").alias("chunk_type"), F.lit(None).cast("float").alias("complexity"), F.lit(False).alias("is_exported"), none.alias("defined_symbols"), none.alias("referenced_symbols"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("parent_symbol"), none.alias("context"), F.lit("").alias("docstring"), "_c", "_p.content", "_p.start_line", "_p.end_line")
-    body = cut.unionByName(windows)
-    order = Window.partitionBy("path").orderBy("_c", "start_line", "end_line")
-    body = body.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("int")).drop("_c").withColumn("is_anchor", F.lit(False))
-    known = files.select("path", "hash").join(facts(files), "path")
-    made = chunking.anchor(F.col("path"), F.col("content"), F.col("imports"), F.col("exports"), F.col("comments"))
-    anchors = files.select("path", "content").join(facts(files), "path").select("path", made.alias("a")).select("path", F.lit("block").alias("chunk_type"), F.lit(None).cast("float").alias("complexity"), F.lit(False).alias("is_exported"), none.alias("defined_symbols"), none.alias("referenced_symbols"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("parent_symbol"), none.alias("context"), F.lit("").alias("docstring"), "a.content", F.lit(0).alias("start_line"), F.col("a.end_line").alias("end_line"), F.lit(-1).alias("chunk_index"), F.lit(True).alias("is_anchor"))
-    rows = body.unionByName(anchors).join(known, "path")
-    shown = F.when(F.col("is_anchor"), F.col("content")).otherwise(chunking.display_text(F.col("path"), F.col("imports"), F.col("context"), F.col("content"), F.col("docstring")))
-    rows = neighbours(rows.withColumn("display_text", shown).withColumn("content", F.col("display_text")))
-    rows = rows.withColumns({"role": F.when(F.col("is_anchor"), F.col("role")).otherwise(doc_role(F.col("path"), F.col("role"))), "id": F.sha2(F.concat_ws("\0", "path", F.col("chunk_index").cast("string"), "content"), 256), "file_skeleton": F.when(F.col("is_anchor"), F.col("file_skeleton"))})
-    rows = rows.withColumns({"colbert": F.lit(None).cast("binary"), "colbert_scale": F.lit(1.0), "pooled": F.lit(None).cast("array<float>")}).drop("comments", "context", "docstring")
+    c = F.col
+    a = analysed(files.select("path", F.coalesce("content", F.lit("")).alias("content"), "hash"))
+    cut = F.flatten(F.transform("pieces", lambda p: F.transform(chunking.split_pieces(p["content"]), lambda q: _piece(p, q["content"], p["start_line"] + q["start_line"], p["start_line"] + q["end_line"]))))
+    whole = F.flatten(F.transform(chunking.line_pieces(c("content")), lambda p: F.when(F.length(p["content"]) > config.CHUNK_CHARS, chunking.char_pieces(p["content"], p["start_line"])).otherwise(F.array(p))))
+    windows = F.transform(F.filter(whole, lambda p: p["content"].rlike(r"\S")), lambda p: _block(p["content"], p["start_line"], p["end_line"]))
+    none = F.slice(windows, 1, 0)
+    a = a.withColumn("body", F.when(F.size("pieces") > 0, cut).when(paths.is_large_data(c("path"), c("content")), none).otherwise(windows))
+    a = a.withColumn("made", chunking.anchor(c("path"), c("content"), c("imports"), c("exports"), c("comments")))
+    a = a.withColumn("all", F.concat(F.array(_block(c("made.content"), F.lit(0), c("made.end_line"))), "body"))
+    a = a.withColumn("shown", F.transform("all", lambda p, i: F.when(i == 0, p["content"]).otherwise(chunking.display_text(c("path"), c("imports"), p["context"], p["content"], p["docstring"]))))
+    near = F.transform("all", lambda p, i: F.struct(p.alias("p"), F.get("shown", i).alias("shown"), F.when(i > 0, F.get("shown", i - 1)).alias("prev"), F.get("shown", i + 1).alias("next")))
+    rows = a.select("path", "hash", "imports", "exports", "file_skeleton", F.posexplode(near).alias("_i", "_c")).withColumn("chunk_index", c("_i") - 1)
+    first = c("_i") == 0
+    rows = rows.select(
+        "path", "hash", "imports", "exports", "chunk_index", first.alias("is_anchor"), F.when(first, c("file_skeleton")).alias("file_skeleton"), c("_c.shown").alias("content"), c("_c.shown").alias("display_text"),
+        F.coalesce("_c.prev", F.lit("")).alias("context_prev"), F.coalesce("_c.next", F.lit("")).alias("context_next"), *[f"_c.p.{n}" for n, _ in _PIECE if n not in ("content", "role", "context", "docstring")],
+        F.when(first, c("_c.p.role")).otherwise(doc_role(c("path"), c("_c.p.role"))).alias("role"), F.sha2(F.concat_ws("\0", "path", c("chunk_index").cast("string"), c("_c.shown")), 256).alias("id"),
+    )
     rows = providers.embed_column(rows, "content", embed, dim) if embed else rows.withColumn("vector", F.lit(None).cast("array<float>"))
-    return rows.select(*[F.col(c.split()[0]).cast(c.split(" ", 1)[1]) for c in CHUNKS.split(", ")])
+    rows = providers.token_columns(rows, "content", tokens) if tokens else rows.withColumns({n: F.lit(None).cast(k) for n, k in (x.split() for x in providers.TOKEN_COLUMNS.split(", "))} | {"colbert_scale": F.lit(1.0)})
+    return rows.select(*[c(x.split()[0]).cast(x.split(" ", 1)[1]) for x in CHUNKS.split(", ")])
+
+
+@dataclass
+class Index:
+    """One version of an index, opened for reading."""
+
+    store: Store
+    version: dict
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.store.spark
 
-def _fs(spark: SparkSession, where: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _read(self, kind: str, schema: str, segments: list[dict] | None = None) -> DataFrame:
+        """A kind of all segments' rows; there are few segments."""
+        out = self.spark.createDataFrame([], schema)
+        for s in self.version["segments"] if segments is None else segments:
+            if s.get(kind, True):
+                rows = self.spark.read.schema(schema).parquet(self.store.at(f"{s['name']}/{kind}"))
+                out = out.unionByName(rows.select(*out.columns))
+        return out
 
+    def _gone(self, kind: str, schema: str) -> DataFrame | None:
+        live = [s["name"] for s in self.version["segments"]]
+        names = [self.store.at(f"{g['name']}/{kind}") for g in self.version["gone"]]
+        return self.spark.read.schema(schema).parquet(*names).where(F.col("segment").isin(live)) if names else None
+
+    @property
+    def gone(self) -> DataFrame | None:
+        """(segment, doc, path) of chunks that have left living segments; None if none has."""
+        return self._gone("docs", GONE)
+
+    def _living(self, rows: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+        gone = self.gone if gone is None else gone
+        return rows if gone is None else rows.join(gone.select(*fulltext.KEY), fulltext.KEY, "left_anti")
+
+    def stored(self) -> DataFrame:
+        """STORED rows that count."""
+        return self._living(self._read("chunks", STORED))
+
+    def chunks(self) -> DataFrame:
+        return self.stored().select(*COLUMNS)
+
+    def files(self) -> DataFrame:
+        """What the last build knew of the files."""
+        name = self.version["files"]
+        return self.spark.read.schema(FILES).parquet(self.store.at(name)) if name else self.spark.createDataFrame([], FILES)
+
+    def fetch(self, keys: DataFrame) -> DataFrame:
+        """STORED rows of keys(segment, doc), a few thousand at most: reads the parts that hold them alone."""
+        keys = keys.select(*fulltext.KEY).persist(StorageLevel.MEMORY_AND_DISK)
+        where = sorted({(r["segment"], r["part"]) for r in keys.select("segment", F.shiftright("doc", 33).cast("int").alias("part")).distinct().collect()})
+        out = []
+        for s in self.version["segments"]:
+            mine = [p for name, p in where if name == s["name"]]
+            if mine:
+                out.append(self._read("chunks", STORED, [s]).where(F.col("part").isin(mine)))
+        rows = out[0] if out else self.spark.createDataFrame([], STORED)
+        for more in out[1:]:
+            rows = rows.unionByName(more)
+        return rows.join(F.broadcast(keys), fulltext.KEY, "left_semi")
+
+    def _in_folders(self, kind: str, schema: str, bucket) -> DataFrame:
+        """Rows of a kind from the folders that bucket(number of folders of a segment) lists."""
+        out = self.spark.createDataFrame([], schema)
+        for s in self.version["segments"]:
+            out = out.unionByName(self._read(kind, schema + ", bucket int", [s]).where(F.col("bucket").isin(bucket(s["folders"]))).drop("bucket"))
+        return out
 
-def exists(spark: SparkSession, where: str) -> bool:
-    fs, path = _fs(spark, where)
-    return fs.exists(path)
+    def _buckets(self, values: list[str]) -> Callable[[int], list[int]]:
+        """Folder numbers of a few values."""
+        df = self.spark.createDataFrame([(v,) for v in values] or [], "v string")
+        hashes = [r[0] for r in df.select(F.xxhash64("v")).collect()]
+        return lambda n: sorted({h % n for h in hashes})
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        terms = list(dict.fromkeys(t.lower() for t in terms))
+        return self._in_folders("postings", fulltext.POSTINGS, self._buckets(terms)).where(F.col("term").isin(terms))
+
+    def entries(self, symbol: str) -> DataFrame:
+        """Living symbol entries of one symbol, from its folders."""
+        return self._living(self._in_folders("symbols", symbols.ENTRIES, self._buckets([symbol])).where(F.col("symbol") == symbol))
+
+    def text_hits(self, terms: list[str], k: int, allowed: DataFrame | None = None, first: int = fulltext.FIRST) -> tuple[DataFrame, dict[str, int]]:
+        """((segment, doc, score) of the documents that reach the k-th best BM25 score, counts of blocks)."""
+        stats = self.version["stats"]
+        return fulltext.top_k(self.postings(terms), terms, k, stats["docs"], stats["terms"], self.gone, self._gone("terms", GONE_TERMS), allowed, first)
+
+    def bm25(self, terms: list[str], k: int) -> DataFrame:
+        """(id, score) of the best k, by falling score, then id."""
+        hits, _ = self.text_hits(terms, k)
+        hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
+        return self.fetch(hits).select(*fulltext.KEY, "id").join(hits, fulltext.KEY).select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+
+    def _allowed(self, path_prefix: str | None, defined: str | None, referenced: str | None, intent_name: str) -> DataFrame | None:
+        """(segment, doc) that the search's filters let through; None if there are none. Symbols are looked up, not scanned for."""
+        parts = []
+        if defined:
+            parts.append(symbols.having(self.entries(defined), defined, "def"))
+        if referenced:
+            parts.append(symbols.having(self.entries(referenced), referenced, "ref"))
+        rest = ranking.predicates(path_prefix, None, None, "GENERAL" if defined else intent_name)
+        if path_prefix or intent_name == "DEFINITION" and not defined:
+            parts.append(self.stored().where(rest))
+        keys = [p.select(*fulltext.KEY).distinct() for p in parts]
+        out = keys[0] if keys else None
+        for k in keys[1:]:
+            out = out.join(k, fulltext.KEY, "left_semi")
+        return out
+
+    def search(self, query: str, k: int = 10, embed: providers.Embed | None = None, tokens: providers.TokenModel | None = None, path_prefix: str | None = None, defined: str | None = None, referenced: str | None = None, job_group: str | None = None, **more: object) -> DataFrame:
+        """ranking.search over this version: id, path, start_line, end_line, score, confidence, rank.
+
+        embed gives the query's dense vector and tokens its token vectors; without them
+        the search goes by text, or without late interaction. Intent and terms follow
+        from the query. Text hits come from the posting blocks, filters by symbol from the
+        symbol table, and rows of candidates from the parts that hold them; the vector
+        search reads ids and vectors. job_group: a name by which the jobs can be cancelled
+        (Spark then fails the search).
+        """
+        if job_group:
+            self.spark.sparkContext.setJobGroup(job_group, f"search {query}", interruptOnCancel=True)
+        intent = self.spark.range(1).select(ranking.intent(F.lit(query)).alias("i")).first()["i"]
+        terms = [t for t in re.split(r"[^\w]+", query.lower()) if t]
+        allowed, n = self._allowed(path_prefix, defined, referenced, intent), config.candidates(k)
+        allowed = allowed.persist(StorageLevel.MEMORY_AND_DISK) if allowed is not None else None
+        text, _ = self.text_hits(terms, n, allowed)
+        key = F.concat_ws(":", "segment", "doc")
+        split = lambda df: df.select("*", F.substring_index("id", ":", 1).alias("segment"), F.substring_index("id", ":", -1).cast("long").alias("doc"))
+        seen = self.stored().select("segment", "doc", "vector")
+        seen = (seen.join(allowed, fulltext.KEY, "left_semi") if allowed is not None else seen).select(key.alias("id"), "vector")
+        rows: list[DataFrame] = []
+
+        def fetch(candidates: DataFrame) -> DataFrame:
+            got = self.fetch(split(candidates)).withColumnRenamed("id", "chunk_id").withColumn("id", key)
+            rows.append(got)
+            return got
+
+        hits = ranking.search(
+            seen, terms, [float(x) for x in embed([query])[0]] if embed else None, k, intent, query_tokens=providers.query_tokens(tokens, query) if tokens else None, query=query,
+            text_hits=text.select(key.alias("id"), "score"), fetch=fetch, skip=tokens.skip if tokens else frozenset(), **more,
+        )
+        names = rows[0].select("id", "chunk_id")
+        return hits.join(names, "id").select(F.col("chunk_id").alias("id"), *[c for c in hits.columns if c != "id"]).orderBy("rank")
+
+    def callers(self, symbol: str, limit: int = 100) -> DataFrame:
+        """graph.callers by the symbol table."""
+        some = symbols.having(self.entries(symbol), symbol, "ref").orderBy("path", "start_line").limit(limit)
+        return graph.callers(self.fetch(some), symbol, limit)
+
+    def center(self, symbol: str) -> DataFrame:
+        some = symbols.having(self.entries(symbol), symbol, "def").orderBy("path", "start_line").limit(1)
+        return graph.center(self.fetch(some), symbol)
+
+    def one_hop(self, symbol: str) -> DataFrame:
+        """graph.one_hop by the symbol table."""
+        up = symbols.having(self.entries(symbol), symbol, "ref").orderBy("path", "start_line").limit(100)
+        mid = symbols.having(self.entries(symbol), symbol, "def").orderBy("path", "start_line").limit(1)
+        return graph.hops(graph.callers(self.fetch(up), symbol), graph.center(self.fetch(mid), symbol))
+
+    def symbols(self, pattern: str | None = None, path_prefix: str | None = None, limit: int | None = 20) -> DataFrame:
+        """graph.symbols by the symbol table."""
+        return symbols.inventory(self._living(self._read("symbols", symbols.ENTRIES)), pattern, path_prefix, limit)
+
+    def skeleton(self, target: str, limit: int = 3, **search: object) -> DataFrame:
+        """path, skeleton by what the target is: a path, a symbol's file, or the best files of a query.
+
+        Stored skeletons; a file without one shows its first lines from its anchor.
+        """
+        kind = target_kind(target)
+        if kind == "path":
+            best = self.spark.createDataFrame([(target.replace("\\", "/"), 0)], "path string, rank int")
+        elif kind == "symbol":
+            own = symbols.having(self.entries(target), target, "def").orderBy("path", "start_line").limit(1).select("path", F.lit(0).alias("rank"))
+            best = symbol_file(self.chunks(), self.bm25([target], 10), target).select("path", F.lit(0).alias("rank")) if own.isEmpty() else own
+        else:
+            best = self.search(target, max(limit, 10), **search).select("path", "rank")
+        found = skeletons_of(self.chunks(), best, limit)
+        anchors = self.chunks().where("is_anchor").select("path", F.col("content").alias("anchor")).join(F.broadcast(found.select("path")), "path", "left_semi")
+        shown = code.preview(F.col("path"), F.col("anchor"), F.lit("no definitions found"))
+        return found.join(anchors, "path", "left").select("path", F.coalesce("skeleton", shown).alias("skeleton"), "rank").orderBy("rank", "path").select("path", "skeleton")
+
+
+def open_index(spark: SparkSession, root: str, version: int | None = None) -> Index:
+    """An index as of a version, or the newest; an empty one if there is none."""
+    store = Store(spark, root)
+    return Index(store, store.read(version))
 
 
 def open_chunks(spark: SparkSession, root: str) -> DataFrame:
     """The chunks table of an index; empty if there is none."""
-    where = f"{root}/chunks"
-    return spark.read.schema(CHUNKS + ", bucket int").parquet(where).drop("bucket") if exists(spark, where) else spark.createDataFrame([], CHUNKS)
+    return open_index(spark, root).chunks()
+
+
+def _tasks(content_bytes: int) -> int:
+    return max(1, math.ceil(content_bytes / TASK_BYTES))
+
+
+def _write_segment(store: Store, rows: DataFrame, content_bytes: int) -> dict | None:
+    """A new segment of CHUNKS rows (written once, so that nothing is made again); None if there are none."""
+    name, spark = store.new("segment"), store.spark
+    raw = store.at(f"{name}/raw")
+    rows.write.parquet(raw)
+    rows = spark.read.schema(CHUNKS).parquet(raw)
+    dealt = rows.repartitionByRange(_tasks(content_bytes), "path", "chunk_index").sortWithinPartitions("path", "chunk_index")
+    dealt = dealt.select("*", F.lit(name).alias("segment"), F.monotonically_increasing_id().alias("doc"), F.size(ranking.tokens(F.col("content"))).alias("n_terms"))
+    dealt = dealt.withColumn("part", F.shiftright("doc", 33).cast("int"))
+    dealt.sortWithinPartitions("part", "doc").write.partitionBy("part").parquet(store.at(f"{name}/chunks"))
+    made = spark.read.schema(STORED).parquet(store.at(f"{name}/chunks"))
+    store.delete(f"{name}/raw")
+    s = made.agg(F.count(F.lit(1)).alias("docs"), F.sum("n_terms").alias("terms"), F.max(F.size("defined_symbols")).alias("d"), F.max(F.size("referenced_symbols")).alias("r")).first()
+    if not s["docs"]:
+        store.delete(name)
+        return None
+    folders = min(MOST_FOLDERS, max(1, math.ceil(content_bytes / FOLDER_BYTES)))
+    out = {"name": name, "docs": s["docs"], "terms": s["terms"] or 0, "bytes": content_bytes, "folders": folders, "gone": 0, "postings": bool(s["terms"]), "symbols": bool((s["d"] or 0) + (s["r"] or 0))}
+    if out["postings"]:
+        fulltext.write(fulltext.blocks(made), store.at(f"{name}/postings"), _tasks(content_bytes), folders)
+    if out["symbols"]:
+        symbols.write(symbols.entries(made), store.at(f"{name}/symbols"), _tasks(content_bytes // 4), folders)
+    return out
 
 
-def open_files(spark: SparkSession, root: str) -> DataFrame:
-    """What the last sync knew of the files; empty if there was none."""
-    for name in ("files", "files.new"):
-        if exists(spark, f"{root}/{name}/_SUCCESS"):
-            return spark.read.schema(FILES).parquet(f"{root}/{name}")
-    return spark.createDataFrame([], FILES)
+def _tier(segment: dict) -> int:
+    return int(math.log10(max(1, segment["docs"] - segment["gone"])))
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+def due(segments: list[dict]) -> list[dict]:
+    """Segments to write anew as one: MERGE of a tier, and each of which a share has left."""
+    by: dict[int, list[dict]] = {}
+    for s in segments:
+        by.setdefault(_tier(s), []).append(s)
+    full = [s for some in by.values() if len(some) >= MERGE for s in some]
+    return full or [s for s in segments if s["gone"] > LEFT * s["docs"]][:1]
 
 
-def build(spark: SparkSession, root: str, seen: DataFrame, embed: Callable[[], providers.Embed] | None = None, dim: int = 384, reset: bool = False, dry_run: bool = False, buckets: int = BUCKETS) -> dict[str, int]:
-    """Bring the index at root in step with seen(path, content, hash, mtime_ms, size); counters of what was done.
+def build(spark: SparkSession, root: str, source: sources.Tree | sources.Rows | DataFrame, embed: Callable[[], providers.Embed] | None = None, dim: int = 384, tokens: Callable[[], providers.TokenModel] | None = None, reset: bool = False, dry_run: bool = False) -> dict[str, int]:
+    """Bring the index at root in step with a source; counters of what was done.
 
-    seen has a row for every file that passes the filters; a file that couldn't be read
-    has a null hash: it counts as failed and its rows stay. Files that aren't seen go.
-    Rows without a cache, or a cache without rows, are an interrupted build: both start
-    anew. Only folders with a changed path are rewritten; writing the cache comes last, so
-    a build that breaks off is done again. The full-text index is made after stale rows
-    have left. A dry run writes nothing and takes every file for new.
+    source lists its files (path, mtime_ms, size) and reads those that are asked for
+    (sources.Tree, sources.Rows; a DataFrame is sources.Rows of it). Files whose time and
+    size are known are not read; one that reads to the known hash only has its time
+    noted; others are chunked anew. A file that can't be read counts as failed and its
+    rows stay; binary files have none; files that aren't listed go. Everything is written
+    to new folders and committed as one version, so a build that breaks off, wherever,
+    leaves the version before, and the next build does it over. One writer at a time holds
+    the lock; should two meet all the same, the later commit raises store.Conflict. An
+    index with a missing folder starts anew. A dry run reads, writes no version and takes
+    every file for new.
     """
-    cached, old = open_files(spark, root), open_chunks(spark, root)
-    if dry_run or reset or not sync.consistent(spark, old, cached):
-        cached, old = spark.createDataFrame([], FILES), spark.createDataFrame([], CHUNKS)
-        if not dry_run and exists(spark, f"{root}/chunks"):
-            fs, path = _fs(spark, f"{root}/chunks")
-            fs.delete(path, True)
-    read = seen.where("hash is not null")
-    state = sync.diff(read.select("path", "hash", "mtime_ms", "size"), cached)
-    todo = state.where("state in ('new', 'changed')").select("path")
-    gone = sync.stale(seen, cached)
-    n = {r["state"]: r["n"] for r in state.groupBy("state").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = {"processed": seen.count(), "indexed": n.get("new", 0) + n.get("changed", 0), "unchanged": n.get("unchanged", 0) + n.get("touched", 0), "failed": seen.where("hash is null").count(), "removed": gone.count()}
-    if dry_run:
+    store = Store(spark, root)
+    source = sources.Rows(source) if isinstance(source, DataFrame) else source
+    with nullcontext() if dry_run else store.lock():
+        try:
+            return _build(store, source, store.new("staging"), embed, dim, tokens, reset, dry_run)
+        finally:
+            store.discard()
+
+
+def _build(store: Store, source, staging: str, embed, dim: int, tokens, reset: bool, dry_run: bool) -> dict[str, int]:
+    spark = store.spark
+    base = store.read()
+    old = Index(store, base)
+    if dry_run or reset or not store.whole(base):
+        old = Index(store, base | {"files": None, "segments": [], "gone": [], "stats": {"docs": 0, "terms": 0}})
+    put = lambda df, name: (df.write.parquet(store.at(f"{staging}/{name}")), spark.read.schema(df.schema).parquet(store.at(f"{staging}/{name}")))[1]
+    cached = old.files()
+    listed = put(source.listing(spark, store.at(f"{staging}/walk")), "listing")
+    same = (F.col("l.mtime_ms") == F.col("c.mtime_ms")) & (F.col("l.size") == F.col("c.size"))
+    known = listed.alias("l").join(cached.alias("c"), F.col("l.path") == F.col("c.path"), "left").select("l.path", F.coalesce(same, F.lit(False)).alias("same"))
+    ask = put(known.where("not same").select("path"), "ask")
+    n_ask = ask.count()
+    got = put(source.contents(spark, ask, n_ask), "contents")  # each file is read once, here
+    light, indexed = got.drop("content"), cached.where("indexed").drop("indexed")
+    fine = sync.diff(light.where("state = 'ok'"), indexed).select("path", F.when(F.col("state") == "unchanged", "touched").otherwise(F.col("state")).alias("what"))
+    state = put(light.join(fine, "path", "left").withColumn("what", F.coalesce("what", "state")), "state")
+    n = {r["what"]: r["n"] for r in state.groupBy("what").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kept = cached.join(listed.select("path"), "path", "left_semi").join(light.select("path"), "path", "left_anti")
+    failed = cached.join(light.where("state = 'failed'").select("path"), "path", "left_semi")
+    now = kept.unionByName(failed).unionByName(state.where("state in ('ok', 'binary')").select("path", "hash", "mtime_ms", "size", (F.col("state") == "ok").alias("indexed")))
+    now = put(now, "files")
+    leaving = sync.stale(now.where("indexed"), indexed)
+    changed = state.where("what in ('new', 'changed')").select("path")
+    away = put(leaving.unionByName(state.where("what = 'changed'").select("path")), "away")
+    fresh = n.get("new", 0) + n.get("changed", 0)
+    unchanged = kept.where("indexed").count() + n.get("touched", 0)
+    out = {"processed": unchanged + fresh + n.get("failed", 0), "indexed": fresh, "unchanged": unchanged, "failed": n.get("failed", 0), "removed": leaving.count()}
+    moved = bool(set(n) - {"failed", "gone"}) or not sync.stale(now, cached).isEmpty()
+    if dry_run or not (moved or reset or not base["version"]):
         return out
-    if out["indexed"] or out["removed"]:
-        rows = chunk_files(read.join(todo, "path", "left_semi"), embed, dim)
-        touched = todo.unionByName(gone).select(_bucket(buckets).alias("bucket")).distinct()
-        # at most `buckets` numbers
-        hit = [r[0] for r in touched.collect()]
-        keep = old.withColumn("bucket", _bucket(buckets)).where(F.col("bucket").isin(hit)).join(todo.unionByName(gone), "path", "left_anti")
-        every = keep.unionByName(rows.withColumn("bucket", _bucket(buckets)))
-        fs, new = _fs(spark, f"{root}/chunks.new")
-        every.repartition(len(hit), "bucket").sortWithinPartitions("bucket", "path", "chunk_index").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/chunks.new")
-        for b in hit:
-            _, there = _fs(spark, f"{root}/chunks/bucket={b}")
-            _, made = _fs(spark, f"{root}/chunks.new/bucket={b}")
-            fs.delete(there, True)
-            if fs.exists(made):
-                fs.mkdirs(there.getParent())
-                fs.rename(made, there)
-        fs.delete(new, True)
-        write_text_index(open_chunks(spark, root), f"{root}/text")
-    failed = cached.join(seen.where("hash is null").select("path"), "path", "left_semi")
-    fs, new = _fs(spark, f"{root}/files.new")
-    read.select("path", "hash", "mtime_ms", "size").unionByName(failed).write.mode("overwrite").parquet(f"{root}/files.new")
-    _, now = _fs(spark, f"{root}/files")
-    fs.delete(now, True)
-    fs.rename(new, now)
+    if not old.version["segments"] and base["segments"]:
+        base = base | {"segments": [], "gone": [], "stats": {"docs": 0, "terms": 0}}
+    segments, gone, stats = list(base["segments"]), list(base["gone"]), dict(base["stats"])
+    if segments and not away.isEmpty():
+        lost = put(old.stored().join(away, "path", "left_semi").select("segment", "doc", "path", "n_terms", "content"), "lost")
+        by = {r["segment"]: r for r in lost.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("n_terms").alias("terms")).collect()}
+        if by:
+            name = store.new("gone")
+            lost.select("segment", "doc", "path").write.parquet(store.at(f"{name}/docs"))
+            lost.select("segment", F.explode(F.array_distinct(ranking.tokens(F.col("content")))).alias("term")).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n")).write.parquet(store.at(f"{name}/terms"))
+            gone.append({"name": name, "segments": sorted(by)})
+            segments = [s | {"gone": s["gone"] + (by[s["name"]]["n"] if s["name"] in by else 0)} for s in segments]
+            stats = {"docs": stats["docs"] - sum(r["n"] for r in by.values()), "terms": stats["terms"] - sum(r["terms"] for r in by.values())}
+    if fresh:
+        rows = chunk_files(got.join(changed, "path", "left_semi").select("path", "content", "hash"), embed, dim, tokens)
+        size = got.join(changed, "path", "left_semi").agg(F.sum("size")).first()[0] or 0
+        made = _write_segment(store, rows, int(size))
+        if made:
+            segments.append(made)
+            stats = {"docs": stats["docs"] + made["docs"], "terms": stats["terms"] + made["terms"]}
+    while old_ones := due(segments):
+        names = {s["name"] for s in old_ones}
+        view = Index(store, base | {"segments": old_ones, "gone": [g for g in gone if names & set(g["segments"])]})
+        made = _write_segment(store, view.chunks(), sum(s["bytes"] for s in old_ones))
+        segments = [s for s in segments if s["name"] not in names] + ([made] if made else [])
+    live = {s["name"] for s in segments}
+    gone = [g for g in gone if live & set(g["segments"])]
+    files = store.new("files")
+    now.write.parquet(store.at(files))
+    store.commit(base, files=files, segments=segments, gone=gone, stats=stats)
+    store.clean()
     return out
 
 
-def write_text_index(chunks: DataFrame, where: str, buckets: int = BUCKETS, id_col: str = "id", text: str = "content") -> None:
-    """postings(term, id, tf, len) dealt and sorted by term, terms(term, df) and stats(n, avg) of chunks."""
-    post, docs = ranking.postings(chunks, id_col, text)
-    rows = post.join(docs, "id").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{where}/postings")
-    docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).coalesce(1).write.mode("overwrite").parquet(f"{where}/stats")
-
-
-def stored_bm25(spark: SparkSession, where: str, terms: list[str], k: int | None = None, k1: float = config.BM25_K1, b: float = config.BM25_B, buckets: int = BUCKETS) -> DataFrame:
-    """ranking.bm25 by a stored index: reads the terms' folders alone. (id, score) by falling score."""
-    terms = list(dict.fromkeys(t.lower() for t in terms))
-    stats = spark.read.parquet(f"{where}/stats").first()
-    # few terms: their folders are known before the read
-    asked = spark.createDataFrame([(t,) for t in terms] or [], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()
-    hits = spark.read.parquet(f"{where}/postings").where(F.col("bucket").isin([r[0] for r in asked]) & F.col("term").isin(terms))
-    df = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = {t: math.log(1 + (stats["n"] - n + 0.5) / (n + 0.5)) for t, n in df.items()}
-    if not idf:
-        return hits.select("id", F.lit(0.0).alias("score")).limit(0)
-    weight = F.create_map(*[x for t, v in idf.items() for x in (F.lit(t), F.lit(v))])[F.col("term")]
-    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (stats["avg"] or 1.0)))
-    out = hits.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id")
-    return out.limit(k) if k else out
-
-
 def symbol_file(chunks: DataFrame, hits: DataFrame, symbol: str) -> DataFrame:
     """path of the best of hits(id, score) that defines a symbol, or else of the best hit."""
     best = hits.orderBy(F.desc("score"), "id").limit(10)
@@ -199,12 +453,10 @@ def symbol_file(chunks: DataFrame, hits: DataFrame, symbol: str) -> DataFrame:
 
 def target_kind(target: str) -> str:
     """What a skeleton is asked of: path, symbol or query."""
-    import re
-
     return "path" if re.search(r"[/\\]|\.\w{1,10}$", target) else "symbol" if re.fullmatch(r"[A-Za-z_]\w*", target, re.A) else "query"
 
 
 def skeletons_of(chunks: DataFrame, hits: DataFrame, limit: int = 3) -> DataFrame:
-    """path, skeleton of the best files of hits(path, rank), from the stored anchors; null where none was made."""
+    """path, skeleton, rank of the best files of hits(path, rank), from the stored anchors; null where none was made."""
     best = hits.groupBy("path").agg(F.min("rank").alias("rank")).orderBy("rank", "path").limit(min(limit, 10))
-    return F.broadcast(best).join(chunks.where("is_anchor").select("path", F.col("file_skeleton").alias("skeleton")), "path", "left").orderBy("rank", "path").select("path", "skeleton")
+    return F.broadcast(best).join(chunks.where("is_anchor").select("path", F.col("file_skeleton").alias("skeleton")), "path", "left").orderBy("rank", "path").select("path", "skeleton", "rank")

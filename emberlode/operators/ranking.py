@@ -193,14 +193,17 @@ def reranked(best: DataFrame, query: str, rerank: Callable[[str, list[str]], lis
     return best.join(F.broadcast(scores), "id")
 
 
-def search(chunks: DataFrame, terms: list[str], query_vector: list[float] | None, k: int = 10, intent_name: str = "GENERAL", path_prefix: str | None = None, defined: str | None = None, referenced: str | None = None, cap: int = config.PER_FILE, query_tokens: Sequence[Sequence[float]] | None = None, rerank: Callable[[str, list[str]], list[tuple[int, float]]] | None = None, query: str = "", factors: dict[str, str | float | None] | None = None, text_hits: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, terms: list[str], query_vector: list[float] | None, k: int = 10, intent_name: str = "GENERAL", path_prefix: str | None = None, defined: str | None = None, referenced: str | None = None, cap: int = config.PER_FILE, query_tokens: Sequence[Sequence[float]] | None = None, rerank: Callable[[str, list[str]], list[tuple[int, float]]] | None = None, query: str = "", factors: dict[str, str | float | None] | None = None, text_hits: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None, skip: frozenset[int] = frozenset()) -> DataFrame:
     """Hybrid search over chunks(id, path, content, start_line, end_line, vector, ...): hits by falling score.
 
     query_tokens: the query's token vectors; then chunks has pooled, colbert and
     colbert_scale, the second stage goes by the pooled vector and the base score is the
     late interaction. rerank: a service (query, texts) -> (index, score) pairs, in place
     of that. With neither, reranking is off. text_hits: (id, score) of a stored
-    full-text index in place of a scan. factors: see boost.
+    full-text index in place of a scan. fetch: gives the rows of at most STAGE1
+    candidates (id); then chunks needs id and vector alone, and it and text_hits have
+    only what the filters let through. skip: ids of tokens (doc_token_ids) that the late interaction leaves out.
+    factors: see boost.
     Returns id, path, start_line, end_line, score (relative), confidence, rank from 0. A
     query of other dimensions than the table is an error; an empty table gives no rows.
     """
@@ -208,9 +211,12 @@ def search(chunks: DataFrame, terms: list[str], query_vector: list[float] | None
 
     from ..functions import vectors
 
-    seen = chunks.where(predicates(path_prefix, defined, referenced, intent_name))
+    seen = chunks if fetch else chunks.where(predicates(path_prefix, defined, referenced, intent_name))
     n = config.candidates(k)
-    text = text_hits.join(seen.select("id"), "id", "left_semi").orderBy(F.desc("score"), "id").limit(n) if text_hits is not None else bm25(seen, "id", "content", terms, n)
+    if text_hits is None:
+        text = bm25(seen, "id", "content", terms, n)
+    else:
+        text = (text_hits if fetch else text_hits.join(seen.select("id"), "id", "left_semi")).orderBy(F.desc("score"), "id").limit(n)
     text = ranked(text, F.desc("score"), F.asc("id")).select("id", "rank")
     if query_vector is not None:
         vec = ranked(vectors.nearest(seen, "id", "vector", query_vector, n).select("id", "distance"), F.asc("distance"), F.asc("id")).select("id", "rank")
@@ -218,18 +224,20 @@ def search(chunks: DataFrame, terms: list[str], query_vector: list[float] | None
         vec = text.where("false")
     fused = ranked(fuse(vec, text), F.desc("fused"), F.asc_nulls_last("vec_rank"), F.asc_nulls_last("fts_rank"), name="fused_rank")
     q = None if query_tokens is None else np.asarray(query_tokens, np.float64)
-    light = seen.select("id", "path", "start_line", "end_line", "content", "chunk_type", "role", "referenced_symbols", "is_anchor", "is_exported", *(["pooled", "colbert", "colbert_scale"] if q is not None else []))
+    names = ["id", "path", "start_line", "end_line", "content", "chunk_type", "role", "referenced_symbols", "is_anchor", "is_exported", *(["pooled", "colbert", "colbert_scale"] if q is not None else []), *(["doc_token_ids"] if skip else [])]
+    # at most STAGE1 candidates by construction, used twice
+    few = fused.where(F.col("fused_rank") < config.STAGE1).persist()
+    light = (fetch(few.select("id")) if fetch else seen).select(*names)
     pooled = F.lit(None).cast("double")
     if q is not None:
         mean = q.mean(0)
         mean = mean / (np.linalg.norm(mean) or 1.0)
         pooled = vectors.dot(F.col("pooled").cast("array<double>"), F.array(*[F.lit(float(x)) for x in mean]))
-    # at most 2 n candidates by construction
-    best = cascade(light.join(F.broadcast(fused.where(F.col("fused_rank") < config.STAGE1)), "id").withColumn("pooled_score", pooled))
+    best = cascade(light.join(F.broadcast(few), "id").withColumn("pooled_score", pooled))
     if rerank is not None:
         best = reranked(best, query, rerank)
     elif q is not None:
-        best = vectors.maxsim(best, q, "colbert", "colbert_scale", q.shape[1], out="base")
+        best = vectors.maxsim(best, q, "colbert", "colbert_scale", q.shape[1], out="base", token_ids="doc_token_ids" if skip else None, skip=skip)
     else:
         best = best.withColumn("base", base_score(F.col("fused"), F.col("stage_rank")))
     scored = best.withColumn("score", blend(F.col("base"), F.col("fused")) * boost(intent_name, factors))

@@ -58,7 +58,7 @@ def tree(tmp_path):
 def test_build_edit_delete_rename_and_failed_reads(spark, tree, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("idx") / "i")
     made = lambda: {r["path"]: r["n"] for r in index.open_chunks(spark, root).groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sync = lambda seen=None, **k: index.build(spark, root, files.read_tree(spark, str(tree)) if seen is None else seen, lambda: providers.hashing_embedder(32), 32, buckets=4, **k)
+    sync = lambda seen=None, **k: index.build(spark, root, files.Tree(str(tree)) if seen is None else seen, lambda: providers.hashing_embedder(32), 32, **k)
     assert sync(dry_run=True)["indexed"] == 3 and made() == {}
     assert sync() == {"processed": 3, "indexed": 3, "unchanged": 0, "failed": 0, "removed": 0}
     first = made()
@@ -74,37 +74,28 @@ def test_build_edit_delete_rename_and_failed_reads(spark, tree, tmp_path_factory
     # edit one, rename one; the third can't be read and keeps its rows
     (tree / "b.py").write_text("def gamma():\n    return 1\n")
     os.rename(tree / "src/x.ts", tree / "src/y.ts")
-    seen = files.read_tree(spark, str(tree)).withColumns({c: F.when(F.col("path") != "README.md", F.col(c)) for c in ("hash", "content", "mtime_ms", "size")})
+    seen = files.read_tree(spark, str(tree), str(tmp_path_factory.mktemp("w") / "walk")).withColumns({c: F.when(F.col("path") != "README.md", F.col(c)) for c in ("hash", "content", "mtime_ms", "size")})
     assert sync(seen) == {"processed": 3, "indexed": 2, "unchanged": 0, "failed": 1, "removed": 1}
     assert made() == {"src/y.ts": first["src/x.ts"], "README.md": 3, "b.py": first["b.py"]}
     assert index.open_chunks(spark, root).where(F.array_contains("defined_symbols", "alpha")).isEmpty()
-    # rows without a cache: an interrupted build starts anew
-    fs, path = index._fs(spark, f"{root}/files")
-    fs.delete(path, True)
+    # a folder that a version names is missing: the index starts anew
+    now = index.open_index(spark, root)
+    now.store.delete(now.version["files"])
     os.unlink(tree / "README.md")
     assert sync()["indexed"] == 2 and set(made()) == {"src/y.ts", "b.py"}
     # search by the stored text index, skeletons of what it finds
-    text = index.stored_bm25(spark, f"{root}/text", ["gamma"])
-    now = index.open_chunks(spark, root)
-    assert {r["path"] for r in now.join(text, "id").collect()} == {"b.py"}
-    hits = ranking.search(now, ["gamma"], providers.hashing_embedder(32)(["gamma"])[0].tolist(), 5, text_hits=text)
+    now = index.open_index(spark, root)
+    assert {r["path"] for r in now.chunks().join(now.bm25(["gamma"], 5), "id").collect()} == {"b.py"}
+    hits = now.search("gamma", 5, providers.hashing_embedder(32))
     assert hits.first()["path"] == "b.py"
-    assert index.symbol_file(now, text, "gamma").first()["path"] == "b.py"
-    assert "gamma" in index.skeletons_of(now, hits).where("path = 'b.py'").first()["skeleton"]
+    assert index.symbol_file(now.chunks(), now.bm25(["gamma"], 5), "gamma").first()["path"] == "b.py"
+    assert "gamma" in now.skeleton("b.py").first()["skeleton"] and now.skeleton("gamma").first()["path"] == "b.py" and now.skeleton("how is gamma", embed=providers.hashing_embedder(32)).first()["path"] == "b.py"
     with pytest.raises(Exception, match="dimensions"):
-        ranking.search(now, ["gamma"], [1.0, 2.0], 5).collect()
-    said = dict(present.listing(spark, {"chunks": f"{root}/chunks", "none": f"{root}/none"}))
+        ranking.search(now.chunks(), ["gamma"], [1.0, 2.0], 5).collect()
+    said = dict(present.listing(spark, {"chunks": f"{root}/versions", "none": f"{root}/none"}))
     assert said["none"] == "not created yet" and "just now" in said["chunks"]
 
 
-def test_stored_text_index_equals_the_scan(spark, tmp_path):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    index.write_text_index(docs, str(tmp_path / "t"), 8)
-    want = [(r["id"], round(r["score"], 9)) for r in ranking.bm25(docs, "id", "content", ["the", "and", "zzz"], 50).collect()]
-    assert [(r["id"], round(r["score"], 9)) for r in index.stored_bm25(spark, str(tmp_path / "t"), ["The", "and", "zzz"], 50, buckets=8).collect()] == want
-    assert index.stored_bm25(spark, str(tmp_path / "t"), ["zzzz"], buckets=8).count() == 0
-
-
 def test_search_reranks(spark):
     rng = np.random.default_rng(5)
     tok = rng.standard_normal((12, 3, 4))

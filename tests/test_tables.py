@@ -22,17 +22,6 @@ def test_sync_states(spark):
     assert sorted(map(tuple, sync.upsert(rows, new, sync.stale(now, old)).collect())) == [("a", 3), ("c", 9)]
 
 
-def test_lock(tmp_path):
-    p = str(tmp_path / "LOCK")
-    with sync.WriterLock(p):
-        with pytest.raises(TimeoutError):
-            sync.WriterLock(p, tries=2, wait=0.01).__enter__()
-    (tmp_path / "LOCK").write_text("999999999 0")
-    with sync.WriterLock(p):
-        pass
-    assert not os.path.exists(p)
-
-
 CHUNKS = "path string, start_line int, defined_symbols array<string>, referenced_symbols array<string>, parent_symbol string, role string, complexity double"
 
 
@@ -75,7 +64,7 @@ def test_walk_and_ignore(spark, tmp_path):
     os.symlink(tmp_path / "gone", tmp_path / "y.py")
     assert set(files.walk(str(tmp_path))) >= {"a.py", "sub/c.ts"}
     assert not {"b.log", ".git/HEAD", "sub/skip/d.ts", "node_modules/e.js", "sub/f.log"} & set(files.walk(str(tmp_path)))
-    got = {r["path"] for r in files.read_tree(spark, str(tmp_path)).collect()}
+    got = {r["path"] for r in files.read_tree(spark, str(tmp_path), str(tmp_path.parent / "staging")).collect()}
     assert got == {"a.py", "sub/c.ts", "sub/.gitignore"}
 
 
