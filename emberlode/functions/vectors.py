@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _sum(x: Column) -> Column:
@@ -123,3 +124,83 @@ def nearest(df: DataFrame, id_col: str, vector: str, query: list[float], k: int,
 
     rows = df.select(F.col(id_col).cast(kind), F.col(vector).cast("array<double>")).where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
     return rows.mapInArrow(scan, f"id {kind}, distance double").orderBy("distance", "id").limit(k)
+
+
+#: Query vectors that one scan serves, and the tasks' lists that meet at first in the final top-k of a query.
+QUERIES_A_SCAN, SALTS = 1024, 64
+
+
+def best_of(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    """The best k rows of each value of by: of parts of its rows first, so no task gets all rows of one value."""
+    some = Window.partitionBy(*by, "_salt").orderBy(*order)
+    part = df.withColumn("_salt", F.spark_partition_id() % SALTS).withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= k).drop("_salt", "_n")
+    return part.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
+def nearest_many(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance): nearest()'s k nearest rows for every row of queries(query_id, vector); exact, by L2.
+
+    The query vectors go to the tasks in blocks of QUERIES_A_SCAN, each served by one
+    scan: a batch's product with all of them bounds the distances, and only rows that may
+    be among a query's best have theirs computed exactly. Null vectors, on either side,
+    are left out; a vector of another length is an error.
+    """
+    kind = "string" if df.schema[id_col].dataType.simpleString() == "string" else "bigint"
+    query_kind = "string" if queries.schema["query_id"].dataType.simpleString() == "string" else "bigint"
+    rows = df.select(F.col(id_col).cast(kind), F.col(vector).cast("array<double>")).where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
+    schema = f"query_id {query_kind}, id {kind}, distance double"
+
+    def block(ids: list, q: np.ndarray) -> DataFrame:
+        norms = (q**2).sum(1)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(q)
+            for b in batches:
+                if not len(b):
+                    continue
+                if (pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False) != q.shape[1]).any():
+                    raise ValueError(f"a vector hasn't the {q.shape[1]} dimensions of the queries")
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                own = own.astype(str) if kind == "string" else own
+                m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+                size = (m**2).sum(1)
+                square = size[:, None] + norms - 2 * (m @ q.T)
+                # what rounding may have done to the squares
+                slack = 1e-9 * (float(size.max()) + norms)
+                for j in range(len(q)):
+                    col = square[:, j]
+                    most = np.partition(col, k - 1)[k - 1] if len(col) > k else np.inf
+                    if best[j] is not None and len(best[j][1]) == k:
+                        most = min(most, best[j][1][-1] ** 2)
+                    some = np.flatnonzero(col <= most + 2 * slack[j])
+                    if not len(some):
+                        continue
+                    d, ids_ = np.sqrt(((m[some] - q[j]) ** 2).sum(1)), own[some]
+                    if best[j] is not None:
+                        ids_, d = np.concatenate([best[j][0], ids_]), np.concatenate([best[j][1], d])
+                    first = np.lexsort((ids_, d))[:k]
+                    best[j] = ids_[first], d[first]
+            full = [(i, x) for i, x in zip(ids, best) if x is not None]
+            if full:
+                cols = [[i for i, x in full for _ in x[1]], [v for _, x in full for v in x[0].tolist()], [v for _, x in full for v in x[1].tolist()]]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string() if query_kind == "string" else pa.int64()), pa.array(cols[1], pa.string() if kind == "string" else pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "id", "distance"])
+
+        return rows.mapInArrow(scan, schema)
+
+    out, ids, some = None, [], []
+
+    def close(out: DataFrame | None) -> DataFrame:
+        made = block(list(ids), np.array(some, np.float64))
+        ids.clear(), some.clear()
+        return made if out is None else out.unionByName(made)
+
+    for r in queries.select(F.col("query_id").cast(query_kind), F.col("vector").cast("array<double>")).where("vector is not null").toLocalIterator():
+        if some and len(r[1]) != len(some[0]):
+            raise ValueError("the queries' vectors differ in length")
+        ids.append(r[0]), some.append(list(r[1]))
+        if len(some) == QUERIES_A_SCAN:
+            out = close(out)
+    out = close(out) if some else out
+    if out is None:
+        return df.sparkSession.createDataFrame([], schema)
+    return best_of(out, ["query_id"], [F.asc("distance"), F.asc("id")], k)

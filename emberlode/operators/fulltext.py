@@ -73,14 +73,15 @@ def top_k(made: DataFrame, terms: list[str], k: int, n_docs: int, n_terms: int,
     avg = n_terms / n_docs if n_docs and n_terms else 1.0
     pairs = [(F.col("term") == t, w) for t, w in idf.items()]
     weight = reduce(lambda out, p: F.when(p[0], F.lit(p[1])).otherwise(out), pairs, F.lit(None).cast("double"))
+    position = F.array_position(F.array(*map(F.lit, terms)), F.col("term"))
     # sums differ in the last bits by their order: bounds are a hair wider
     bounds = heads.where(weight.isNotNull()).groupBy("segment", "block").agg((F.sum(weight * part(F.col("max_tf"), F.col("min_len"), avg, k1, b)) * (1 + 1e-9)).alias("most"))
 
     def scored(ranges: DataFrame) -> DataFrame:
         rows = asked.where(weight.isNotNull()).join(ranges.select("segment", "block"), ["segment", "block"], "left_semi")
-        rows = rows.select("segment", weight.alias("w"), F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("p"))
-        rows = rows.select("segment", F.col("p.docs").alias("doc"), (F.col("w") * part(F.col("p.tfs"), F.col("p.lens"), avg, k1, b)).alias("s"))
-        out = rows.groupBy(*KEY).agg(F.sum("s").alias("score"))
+        rows = rows.select("segment", weight.alias("w"), position.alias("at"), F.explode(F.arrays_zip("docs", "tfs", "lens")).alias("p"))
+        rows = rows.select("segment", F.col("p.docs").alias("doc"), "at", (F.col("w") * part(F.col("p.tfs"), F.col("p.lens"), avg, k1, b)).alias("s"))
+        out = rows.groupBy(*KEY).agg(ranking.summed(F.col("at"), F.col("s")).alias("score"))
         out = out.join(gone.select(*KEY), KEY, "left_anti") if gone is not None else out
         return out.join(allowed.select(*KEY), KEY, "left_semi") if allowed is not None else out
 

@@ -54,6 +54,11 @@ def postings(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFram
     return t.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")), t.select("id", F.size("t").alias("len"))
 
 
+def summed(at: Column, part: Column) -> Column:
+    """Sum of a document's few parts in the order of its terms: like documents then have like scores to the last bit."""
+    return F.aggregate(F.array_sort(F.collect_list(F.struct(at.alias("at"), part.alias("x")))), F.lit(0.0), lambda a, p: a + p["x"])
+
+
 def bm25(df: DataFrame, id_col: str, text: str, terms: list[str], k: int | None = None, k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
     """(id, score) of the rows with any of the terms, by score then id; k limits it.
 
@@ -75,20 +80,21 @@ def bm25(df: DataFrame, id_col: str, text: str, terms: list[str], k: int | None
     return out.limit(k) if k else out
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """Ranks from 0 for a small candidate list (it is gathered in one task)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
+def ranked(df: DataFrame, *order: Column, name: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """Ranks from 0 for a small candidate list (it is gathered in one task), or one for each value of by."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)) - 1)
 
 
-def fuse(vector: DataFrame, text: DataFrame, k: int = config.RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of two (id, rank) lists of candidates: id, fused, vec_rank, fts_rank.
+def fuse(vector: DataFrame, text: DataFrame, k: int = config.RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion of two (id, rank) lists of candidates: id, fused, vec_rank, fts_rank; for each value of by.
 
     Ordered by falling score; ties by the order in which a reader of the first list and
     then the second meets them.
     """
-    j = vector.select("id", F.col("rank").alias("vec_rank")).join(text.select("id", F.col("rank").alias("fts_rank")), "id", "full_outer")
+    j = vector.select(*by, "id", F.col("rank").alias("vec_rank")).join(text.select(*by, "id", F.col("rank").alias("fts_rank")), [*by, "id"], "full_outer")
     term = lambda c: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(c) + 1), F.lit(0.0))
-    return j.withColumn("fused", term("vec_rank") + term("fts_rank")).orderBy(F.desc("fused"), F.asc_nulls_last("vec_rank"), F.asc_nulls_last("fts_rank"))
+    j = j.withColumn("fused", term("vec_rank") + term("fts_rank"))
+    return j if by else j.orderBy(F.desc("fused"), F.asc_nulls_last("vec_rank"), F.asc_nulls_last("fts_rank"))
 
 
 def cascade(df: DataFrame, stage1: int = config.STAGE1, stage2: int = config.STAGE2, top: int = config.RERANK_TOP) -> DataFrame:
@@ -114,38 +120,41 @@ def blend(base: Column, fused: Column, weight: float = config.BLEND) -> Column:
 FACTORS = {"anchor": 0.99, "test": 0.5, "docs": 0.6, "prose": 0.6, "short": 0.9}
 
 
-def boost(intent_name: str = "GENERAL", factors: dict[str, str | float | None] | None = None) -> Column:
-    """Factor by structure: kind, role, references, intent, then docs, tests, prose files and tiny chunks."""
-    f = {k: config.factor((factors or {}).get(k), v) for k, v in FACTORS.items()}
+def boost(intent_name: str | Column = "GENERAL", factors: dict[str, str | float | Column | None] | None = None) -> Column:
+    """Factor by structure: kind, role, references, intent, then docs, tests, prose files and tiny chunks. Intent and factors may be columns."""
+    given = factors or {}
+    f = {k: given[k] if isinstance(given.get(k), Column) else config.factor(given.get(k), v) for k, v in FACTORS.items()}
     c, one = F.col, F.lit(1.0)
     if_ = lambda cond, x: F.when(F.coalesce(cond, F.lit(False)), F.lit(x)).otherwise(one)
     kind = F.coalesce(c("chunk_type"), F.lit("")).isin(*DEFINED_TYPES)
     role = F.coalesce(c("role"), F.lit(""))
     refs = F.coalesce(F.size("referenced_symbols"), F.lit(0))
-    wanted = {"DEFINITION": ("DEFINITION", 1.2), "FLOW": ("ORCHESTRATION", 1.4), "USAGE": ("IMPLEMENTATION", 1.2)}.get(intent_name)
+    wanted = {"DEFINITION": ("DEFINITION", 1.2), "FLOW": ("ORCHESTRATION", 1.4), "USAGE": ("IMPLEMENTATION", 1.2)}
+    asked = reduce(lambda x, y: x * y, [if_((intent_name == i) & (role == r), x) for i, (r, x) in wanted.items()]) if isinstance(intent_name, Column) else if_(role == wanted[intent_name][0], wanted[intent_name][1]) if intent_name in wanted else one
     body = if_(kind, 1.1) * F.when(kind, F.when(role == "ORCHESTRATION", 1.5).when(role == "DEFINITION", 1.2).when(role == "IMPLEMENTATION", 1.1).otherwise(1.0)).otherwise(1.0)
-    body = body * if_(refs > 5, 1.1) * if_(refs > 15, 1.25) * (if_(role == wanted[0], wanted[1]) if wanted else one)
+    body = body * if_(refs > 5, 1.1) * if_(refs > 15, 1.25) * asked
     p = F.lower(F.coalesce(c("path"), F.lit("")))
     prose = p.rlike(r"\.(md|mdx|txt|json|lock)$") | p.contains("/docs/")
     every = if_(role == "DOCS", f["docs"]) * if_(p.rlike(TEST_PATH), f["test"]) * if_(prose, f["prose"]) * if_((F.length("content") < 50) & ~F.coalesce(c("is_exported"), F.lit(False)), f["short"])
     return F.when(F.coalesce(c("is_anchor"), F.lit(False)), F.lit(f["anchor"])).otherwise(body) * every
 
 
-def without_overlaps(df: DataFrame) -> DataFrame:
+def without_overlaps(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Greedy by rank: a hit goes if its id came before, or if it shares over half of the shorter range with a kept one of its path.
 
-    df(id, path, rank, start_line, end_line). Paths are independent, so each is one fold.
+    df(id, path, rank, start_line, end_line), for each value of by. Paths are independent,
+    so each is one fold over its hits in memory: in a search these are RERANK_TOP at most.
     """
-    first = Window.partitionBy("id").orderBy("rank")
+    first = Window.partitionBy(*by, "id").orderBy("rank")
     df = df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     hit = F.struct(F.col("rank").alias("rank"), F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col("id").alias("id"))
     shared = lambda x, y: F.greatest(F.lit(0), F.least(x["e"], y["e"]) - F.greatest(x["s"], y["s"]))
     shorter = lambda x, y: F.least(x["e"] - x["s"], y["e"] - y["s"])
-    groups = df.groupBy("path").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    groups = df.groupBy(*by, "path").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     kind = groups.schema["hits"].dataType
     kept = F.aggregate("hits", F.array().cast(kind), lambda a, x: F.when(F.exists(a, lambda y: shared(x, y) > 0.5 * shorter(x, y)), a).otherwise(F.concat(a, F.array(x))))
-    ids = groups.select(F.explode(kept).alias("h")).select("h.id")
-    return df.join(ids, "id", "left_semi")
+    ids = groups.select(*by, F.explode(kept).alias("h")).select(*by, "h.id")
+    return df.join(ids, [*by, "id"], "left_semi")
 
 
 def per_file(df: DataFrame, cap: int = config.PER_FILE, k: int | None = None) -> DataFrame:
@@ -154,9 +163,9 @@ def per_file(df: DataFrame, cap: int = config.PER_FILE, k: int | None = None) ->
     return out.orderBy("rank").limit(k) if k else out
 
 
-def calibrate(df: DataFrame, score: str = "score") -> DataFrame:
-    """Scores relative to the best, and a level of confidence."""
-    top = F.max(score).over(Window.partitionBy(F.lit(1)))
+def calibrate(df: DataFrame, score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    """Scores relative to the best (of each value of by), and a level of confidence."""
+    top = F.max(score).over(Window.partitionBy(*(by or [F.lit(1)])))
     rel = F.when(top > 0, F.col(score) / top).otherwise(0.0)
     return df.withColumn("calibrated", rel).withColumn("confidence", F.when(F.col("calibrated") > 0.8, "High").when(F.col("calibrated") > 0.5, "Medium").otherwise("Low"))
 
