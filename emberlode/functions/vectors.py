@@ -36,7 +36,8 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 def token_rows(a: Column, width: int) -> Column:
     """A flat vector cut into rows of width."""
-    return F.transform(F.sequence(F.lit(0), (F.size(a) / width).cast("int") - 1), lambda i: F.slice(a, i * width + 1, width))
+    n = (F.size(a) / width).cast("int")
+    return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(a, i * width + 1, width))
 
 
 def quantize_int8(rows: Column) -> tuple[Column, Column]:

@@ -89,6 +89,7 @@ def _blanked(text: str) -> str:
 #: Words that add to the complexity, by language; operators add in all of them.
 _BRANCHES = {"rust": (), "go": ("if", "for")}
 _VALUE = re.compile(r"^(?P<export>export\s+)?(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)", re.M)
+#: A constant in capitals, and in _values the three marks of a value that is a definition.
 _UPPER = re.compile(r"(?:^|\n)\s*(?:export\s+)?const\s+[A-Z0-9_]+\s*=")
 
 

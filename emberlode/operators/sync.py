@@ -32,8 +32,3 @@ def upsert(old: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
 def dry_run(now: DataFrame) -> DataFrame:
     """What a first sync would do: every file counts as new, nothing is written."""
     return now.agg(F.count(F.lit(1)).alias("processed"), F.count(F.lit(1)).alias("indexed"), F.lit(0).cast("long").alias("failed"))
-
-
-def write_chunks(rows: DataFrame, path: str) -> None:
-    """Sorted by path within files, for range skipping of path prefixes."""
-    rows.sortWithinPartitions("path").write.mode("overwrite").parquet(path)

@@ -44,13 +44,13 @@ def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).join(v, "id", "left")
 
 
-def with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """with_vectors, and each vector as 4 tokens of 16: int8 matrix, scale and pooled vector."""
+def tokens_of(spark: SparkSession, sf_dir: str, few: DataFrame) -> DataFrame:
+    """chunks() of few(id), at most a few hundred, and each one's vector as 4 tokens of 16: int8 matrix, scale and pooled vector."""
     m = vectors.token_rows(F.col("embedding"), 16)
     rows, scale = vectors.quantize_int8(m)
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    v = v.select((F.col("vec_id") * 1000).alias("id"), F.col("embedding").alias("vector"), vectors.packed_int8(rows).alias("colbert"), scale.alias("colbert_scale"), vectors.pooled(m, 16).alias("pooled"))
-    return chunks(spark, sf_dir).join(v, "id", "left")
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("id", F.col("vec_id") * 1000).join(F.broadcast(few), "id", "left_semi")
+    v = v.select("id", vectors.packed_int8(rows).alias("colbert"), scale.alias("colbert_scale"), vectors.pooled(m, 16).alias("pooled"))
+    return chunks(spark, sf_dir).join(F.broadcast(few), "id", "left_semi").join(v, "id", "left")
 
 
 FILES = """files AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'src/tests/' ELSE 'src/' END || lang || '/' || source || '/' || doc_id ||

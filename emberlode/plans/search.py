@@ -271,7 +271,8 @@ _RERANKED = _STAGED.replace("CASE WHEN c.doc_id % 3 = 0 THEN NULL ELSE c.doc_id
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: full text and vector candidates, fusion, pooled stage, late interaction, boosts, diversity, calibration."""
     v = _query_vector(spark, d)
-    hits = ranking.search(fx.with_tokens(spark, d), TERMS, v, K, "FLOW", query_tokens=[v[i : i + 16] for i in range(0, 64, 16)])
+    # tokens are made for the candidates alone
+    hits = ranking.search(fx.with_vectors(spark, d), TERMS, v, K, "FLOW", query_tokens=[v[i : i + 16] for i in range(0, 64, 16)], fetch=lambda few: fx.tokens_of(spark, d, few))
     return _long(hits.withColumn("score", F.round("score", 4)), "rank")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from emberlode.operators import code, evaluate, graph, present, sync
 from emberlode.sources import files, providers
-from emberlode.streaming import live
 
 META = "path string, hash string, mtime_ms double, size bigint"
 
@@ -128,16 +127,3 @@ def test_providers(spark):
     with pytest.raises(ValueError):
         providers.retried(lambda: calls.append(1) or (_ for _ in ()).throw(ValueError()), wait=0.001)
     assert len(calls) == 3
-
-
-def test_live_table(spark, tmp_path):
-    src, table, cp = tmp_path / "src", tmp_path / "table", tmp_path / "cp"
-    src.mkdir()
-    (src / "a.py").write_text("one\ntwo")
-    live.maintain(spark, str(src), str(table), str(cp)).awaitTermination()
-    (src / "b.py").write_text("three")
-    live.maintain(spark, str(src), str(table), str(cp)).awaitTermination()
-    import json
-
-    rows = spark.read.parquet(json.load(open(table / "CURRENT"))["chunks"]).collect()
-    assert sorted(r["content"] for r in rows) == ["one\ntwo", "three"]
