@@ -1,7 +1,8 @@
 """Fitting on a bounded sample of labelled rows, in one task, and scoring by the model.
 
-The bound is the parameter train_rows: rows are taken in the order of a hash of
-their id, so the sample is the same however the tables are partitioned. Rows
+The bound is the parameter train_rows: ids are taken in the order of their hash, and of
+rows that share an id the one whose text has the least hash, so the sample is the same
+however the tables are partitioned. Rows
 whose crc32(doc_id as text) is divisible by 5 are never learnt.
 """
 
@@ -26,7 +27,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, train_rows: int, feat
     """The model that fit makes of the labels and features of at most train_rows rows, ordered by id.
 
     A document labelled more than once takes its largest label; null labels and
-    ids are left out. features: bytes and offsets of a block of texts -> one
+    ids are left out. Of rows that share an id one is learnt, so there are never more rows
+    than ids. features: bytes and offsets of a block of texts -> one
     value a text, made on the executors. With min_rows over 1 a value is a set of
     64-bit hashes; those of fewer rows are counted out on the executors, but for
     the hashes in always. The sample is bounded, so one task holds it; the driver
@@ -36,6 +38,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, train_rows: int, feat
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isNotNull() & F.col("doc_id").isNotNull() & ~in_holdout("doc_id"))
     ids = ids.groupBy("doc_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    # an id's rows meet as the least of each task
+    rows = rows.groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("doc_id", "r.text", "_y")
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

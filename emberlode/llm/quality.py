@@ -76,7 +76,11 @@ class Model:
 
 
 def fit(y: np.ndarray, bag: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 1.0, seed: int = 11) -> Model:
-    """Plain SGD, one document a step, the rate falling linearly to 0."""
+    """Stochastic gradient descent, one document a step, the rate falling linearly to 0.
+
+    The output's step is plain; a feature's is its gradient times 4 * sqrt(rate * features
+    of the document), so that long documents teach their words as well as short ones.
+    """
     n = len(y)
     prior = (y.sum() + 1) / (n + 2)
     if n == 0 or y.min() == y.max():

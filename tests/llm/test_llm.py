@@ -325,12 +325,51 @@ def test_topk(spark):
     assert {tuple(r) for r in topk_mih.nearest(df, df.where("id % 50 = 0"), 7, bits=5).collect()} == {x for x in want if x[0] % 50 == 0}
     few = spark.createDataFrame([(1, 5), (2, 5), (3, -1), (1, 5), (1, 6)], "id long, code long")
     assert {tuple(r) for r in topk_mih.nearest(few, few.where("id = 2")).collect()} == {(2, 1, 1, 0), (2, 2, 2, 0), (2, 3, 1, 2), (2, 4, 3, 62)}
+    # a segment with more values at a radius than there are codes: all codes are met
+    assert {tuple(r) for r in topk_mih.nearest(df, df.where("id % 50 = 0"), 7, bits=32).collect()} == {x for x in want if x[0] % 50 == 0}
     with pytest.raises(Exception, match="64 coordinates"):
         spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(topk_mih.sign_code(F.col("v"))).collect()
     v = spark.createDataFrame([([1.0, -1.0, 0.5],), (None,), ([0.0] * 63 + [1.0],)], "v array<double>")
     assert [r[0] for r in v.select(topk_mih.sign_code(F.col("v"))).collect()] == [5, None, -(1 << 63)]
 
 
+def test_topk_goes_by_rounds_and_meets_few(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.integers(-(1 << 63), 1 << 63, 300)
+    codes = [(i, int(c ^ np.int64(sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False))))) for i, c in enumerate(np.repeat(centres, 10))]
+    df = spark.createDataFrame([(i, c, 1, 2, 3) for i, c in codes] + [(None, None, 0, 0, 0)], "id long, code long, q long, seg int, kth int")
+    told: list = []
+    got = {tuple(r) for r in topk_mih.nearest(df, df.where("id % 100 = 0"), 5, told=told).collect()}
+    assert got == {(i, r + 1, j, d) for i, c in codes if i % 100 == 0 for r, (d, j) in enumerate(sorted((bin((c ^ e) & (2**64 - 1)).count("1"), j) for j, e in codes)[:5])}
+    assert len(told) > 1 and told[0]["radius"] == 0 and told[0]["open"] == 30 and all(t["met"] <= 30 * 5 for t in told) and told[-1]["open"] < 30
+
+
+def test_segments_follow_the_number_of_codes():
+    widths = [max(w for _, w in topk_mih.segments(n)) for n in (1, 100, 10_000, 10**6, 10**9, 10**12)]
+    assert widths == sorted(widths) and widths[0] == 4 and widths[-1] == 32
+    assert all(sum(w for _, w in topk_mih.segments(n)) == 64 for n in (1, 7, 10**5, 10**10))
+
+
+@pytest.mark.parametrize("op, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_a_repeated_id_is_one_row_of_the_sample(spark, monkeypatch, op, label):
+    """At most train_rows rows are learnt, however often a labelled id is repeated."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:20]
+    rows = [(i, f"text number {i} with words") for i in ids] + [(ids[0], "text of a repeated id")] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    told = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], f"doc_id long, {label} int")
+    feature = lambda raw, off: [b""] * (len(off) - 1)
+
+    def fit(y, f):
+        raise ValueError(f"rows {len(y)}")
+
+    from emberlode.llm import labelled
+
+    for most in (3, 20, 500):
+        with pytest.raises(Exception, match=f"rows {min(most, 20)}\\b"):
+            labelled.fitted(df, told, label, most, feature, fit)
+    assert op.score(df, told, 5).count() == len(rows)
+
+
 def auc(y, s):
     order = np.argsort(np.argsort(s, kind="stable"), kind="stable") + 1
     p = np.array(y) == 1
