@@ -85,7 +85,23 @@ ORACLE_SQL: dict[str, str] = {
               FROM b q, b c WHERE q.vec_id % 100 = 0),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM d)
         SELECT query_id, rank, id, distance FROM r WHERE rank <= 10""",
-    "op3_line_rules": None,
+    "op3_line_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        g AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3), g3 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
+        rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM g3, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY rid),
+        l AS (SELECT rid, unnest(list_distinct(ls)) AS x FROM w),
+        v AS (SELECT rid, x, lower(trim(x, ' ')) AS low, len(string_split(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ')) AS n,
+                len(regexp_extract_all(x, '[#*$%&|<>]{2,}|[|<>»]')) AS symbols, len(regexp_extract_all(x, '\p{L}')) AS letters, len(regexp_extract_all(x, '\p{Lu}')) AS upper FROM l),
+        good AS (SELECT rid, sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) AS solid FROM v
+          WHERE low = '' OR ((regexp_matches(low, '[.!?…。！？:;,]["''”’»)\]*_`]*$') OR n >= 6)
+            AND low NOT IN ('home', 'menu', 'login', 'log in', 'sign in', 'sign up', 'register', 'search', 'next', 'previous', 'back', 'contact', 'about', 'about us', 'contact us', 'sitemap', 'read more', 'show more') AND symbols <= 0.1::DOUBLE * n
+            AND NOT (n >= 4 AND upper > 0.7::DOUBLE * letters)
+            AND NOT regexp_matches(low, 'all rights reserved|cookie policy|we use cookies|privacy policy|terms of use|terms of service|terms and conditions|enable javascript|javascript is disabled|subscribe to our newsletter|sign up for our newsletter|click here to|skip to content|skip to main content|powered by wordpress|lorem ipsum|copyright \(c\)|share on facebook|share this:'))
+          GROUP BY rid),
+        c AS (SELECT w.rid, doc_id, t, len(ws) AS n, length(array_to_string(ws, '')) AS chars, len(ls) - len(list_distinct(ls)) AS dup, coalesce(rep.n, 0) AS again, coalesce(good.solid, 0) AS solid FROM w LEFT JOIN rep ON rep.rid = w.rid LEFT JOIN good ON good.rid = w.rid)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(again AS BIGINT) AS n_repeat_words,
+               n < 50 OR 100 * again > 50 * n AS base_failed, NOT (n < 50 OR 100 * again > 50 * n) AND (chars = 0 OR 1 - solid::DOUBLE / chars <= 0.5) AS kept FROM c""",
     "op9_backoff_scores": r"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         t AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),

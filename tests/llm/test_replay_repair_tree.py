@@ -234,3 +234,16 @@ def test_digests_in_slices(monkeypatch):
     want = codec.digests(ids)
     monkeypatch.setattr(bpe_tree, "SLICE", 3)
     assert codec.digests(ids) == want
+
+
+@pytest.mark.parametrize("name", ["op3_line_rules", "op11_filter_audit", "op12_conversation_repair"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
