@@ -3,7 +3,7 @@
     listing -> files that differ -> read once -> definitions or windows -> anchor -> vectors -> segment
 
 Each build writes what is new or changed as a segment: chunks sorted by path and
-numbered, posting blocks, and symbols, none of which is changed later. What left is
+numbered, posting blocks, symbols, and vectors by cells, none of which is changed later. What left is
 named by (segment, number). Segments of like size are merged, and those of which a
 fifth has left are rewritten, so a build's work follows what changed. A version
 (store.Store) names the segments that count.
@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from contextlib import nullcontext
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import config
-from ..functions import paths
+from ..functions import paths, pivots
 from ..sources import files as sources
 from ..sources import providers
 from . import chunking, code, fulltext, graph, ranking, symbols, sync
@@ -43,6 +44,9 @@ COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
 #: A chunk in a segment: its number there, the number of its terms, and the folder of its part.
 STORED = CHUNKS + ", segment string, doc long, n_terms int, part int"
 FILES = "path string, hash string, mtime_ms double, size bigint, indexed boolean"
+#: A segment's vectors, by the cell of their nearest pivot; a segment has about the root of its chunks of these, within bounds.
+VECTORS = "segment string, doc long, vector array<float>, radius double, cell int"
+MOST_PIVOTS = 1024
 GONE = "segment string, doc long, path string"
 GONE_TERMS = "segment string, term string, n long"
 
@@ -214,6 +218,27 @@ class Index:
         hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
         return self.fetch(hits).select(*fulltext.KEY, "id").join(hits, fulltext.KEY).select("id", "score").orderBy(F.desc("score"), "id").limit(k)
 
+    def nearest(self, query: list[float], k: int, allowed: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+        """((segment, doc, distance) of the k nearest living chunks by L2, exact; counts of rows and of rows read).
+
+        Segment by segment, each reads the cells that can hold one of its k nearest.
+        """
+        out, counts = self.spark.createDataFrame([], "segment string, doc long, distance double"), {"rows": 0, "read": 0}
+        for s in self.version["segments"]:
+            if not s.get("vectors"):
+                continue
+            at = lambda kind, s=s: self.spark.read.parquet(self.store.at(f"{s['name']}/{kind}"))
+            # a row a pivot
+            around = np.array([r["vector"] for r in at("pivots").orderBy("cell").collect()])
+            if len(query) != around.shape[1]:
+                raise ValueError(f"a vector hasn't the {len(query)} dimensions of the query")
+            rows = self._living(self._read("vectors", VECTORS, [s]))
+            rows = rows.join(allowed.select(*fulltext.KEY), fulltext.KEY, "left_semi") if allowed is not None else rows
+            found, n = pivots.nearest(rows, at("cells"), around, "doc", "vector", query, k)
+            out = out.unionByName(found.select(F.lit(s["name"]).alias("segment"), F.col("id").alias("doc"), "distance"))
+            counts = {c: counts[c] + n[c] for c in counts}
+        return out.orderBy("distance", "segment", "doc").limit(k), counts
+
     def _allowed(self, path_prefix: str | None, defined: str | None, referenced: str | None, intent_name: str) -> DataFrame | None:
         """(segment, doc) that the search's filters let through; None if there are none. Symbols are looked up, not scanned for."""
         parts = []
@@ -236,8 +261,8 @@ class Index:
         embed gives the query's dense vector and tokens its token vectors; without them
         the search goes by text, or without late interaction. Intent and terms follow
         from the query. Text hits come from the posting blocks, filters by symbol from the
-        symbol table, and rows of candidates from the parts that hold them; the vector
-        search reads ids and vectors. job_group: a name by which the jobs can be cancelled
+        symbol table, rows of candidates from the parts that hold them, and the vector
+        search reads cells that can matter. job_group: a name by which the jobs can be cancelled
         (Spark then fails the search).
         """
         if job_group:
@@ -249,8 +274,7 @@ class Index:
         text, _ = self.text_hits(terms, n, allowed)
         key = F.concat_ws(":", "segment", "doc")
         split = lambda df: df.select("*", F.substring_index("id", ":", 1).alias("segment"), F.substring_index("id", ":", -1).cast("long").alias("doc"))
-        seen = self.stored().select("segment", "doc", "vector")
-        seen = (seen.join(allowed, fulltext.KEY, "left_semi") if allowed is not None else seen).select(key.alias("id"), "vector")
+        vector = self.nearest([float(x) for x in embed([query])[0]], n, allowed)[0].select(key.alias("id"), "distance") if embed else None
         rows: list[DataFrame] = []
 
         def fetch(candidates: DataFrame) -> DataFrame:
@@ -259,7 +283,7 @@ class Index:
             return got
 
         hits = ranking.search(
-            seen, terms, [float(x) for x in embed([query])[0]] if embed else None, k, intent, query_tokens=providers.query_tokens(tokens, query) if tokens else None, query=query,
+            text, terms, None, k, intent, vector_hits=vector, query_tokens=providers.query_tokens(tokens, query) if tokens else None, query=query,
             text_hits=text.select(key.alias("id"), "score"), fetch=fetch, skip=tokens.skip if tokens else frozenset(), **more,
         )
         names = rows[0].select("id", "chunk_id")
@@ -338,6 +362,13 @@ def _write_segment(store: Store, rows: DataFrame, content_bytes: int) -> dict |
     out = {"name": name, "docs": s["docs"], "terms": s["terms"] or 0, "bytes": content_bytes, "folders": folders, "gone": 0, "postings": bool(s["terms"]), "symbols": bool((s["d"] or 0) + (s["r"] or 0))}
     if out["postings"]:
         fulltext.write(fulltext.blocks(made), store.at(f"{name}/postings"), _tasks(content_bytes), folders)
+    around = pivots.pick(made, "doc", "vector", max(1, min(MOST_PIVOTS, math.isqrt(s["docs"]))))
+    out["vectors"] = bool(len(around))
+    if out["vectors"]:
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(around)], "cell int, vector array<double>").write.parquet(store.at(f"{name}/pivots"))
+        rows = pivots.celled(made.where("vector is not null").select("segment", "doc", "vector"), "vector", around)
+        rows.repartitionByRange(_tasks(content_bytes), "cell", "doc").write.partitionBy("cell").parquet(store.at(f"{name}/vectors"))
+        pivots.cells(spark.read.schema(VECTORS).parquet(store.at(f"{name}/vectors"))).write.parquet(store.at(f"{name}/cells"))
     if out["symbols"]:
         symbols.write(symbols.entries(made), store.at(f"{name}/symbols"), _tasks(content_bytes // 4), folders)
     return out

@@ -202,16 +202,16 @@ def reranked(best: DataFrame, query: str, rerank: Callable[[str, list[str]], lis
     return best.join(F.broadcast(scores), "id")
 
 
-def search(chunks: DataFrame, terms: list[str], query_vector: list[float] | None, k: int = 10, intent_name: str = "GENERAL", path_prefix: str | None = None, defined: str | None = None, referenced: str | None = None, cap: int = config.PER_FILE, query_tokens: Sequence[Sequence[float]] | None = None, rerank: Callable[[str, list[str]], list[tuple[int, float]]] | None = None, query: str = "", factors: dict[str, str | float | None] | None = None, text_hits: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None, skip: frozenset[int] = frozenset()) -> DataFrame:
+def search(chunks: DataFrame, terms: list[str], query_vector: list[float] | None, k: int = 10, intent_name: str = "GENERAL", path_prefix: str | None = None, defined: str | None = None, referenced: str | None = None, cap: int = config.PER_FILE, query_tokens: Sequence[Sequence[float]] | None = None, rerank: Callable[[str, list[str]], list[tuple[int, float]]] | None = None, query: str = "", factors: dict[str, str | float | None] | None = None, text_hits: DataFrame | None = None, fetch: Callable[[DataFrame], DataFrame] | None = None, skip: frozenset[int] = frozenset(), vector_hits: DataFrame | None = None) -> DataFrame:
     """Hybrid search over chunks(id, path, content, start_line, end_line, vector, ...): hits by falling score.
 
     query_tokens: the query's token vectors; then chunks has pooled, colbert and
     colbert_scale, the second stage goes by the pooled vector and the base score is the
     late interaction. rerank: a service (query, texts) -> (index, score) pairs, in place
     of that. With neither, reranking is off. text_hits: (id, score) of a stored
-    full-text index in place of a scan. fetch: gives the rows of at most STAGE1
-    candidates (id); then chunks needs id and vector alone, and it and text_hits have
-    only what the filters let through. skip: ids of tokens (doc_token_ids) that the late interaction leaves out.
+    full-text index in place of a scan, vector_hits: (id, distance) of a vector search
+    likewise. fetch: gives the rows of at most STAGE1 candidates (id); then chunks needs
+    what is scanned alone, and it and the hits have only what the filters let through. skip: ids of tokens (doc_token_ids) that the late interaction leaves out.
     factors: see boost.
     Returns id, path, start_line, end_line, score (relative), confidence, rank from 0. A
     query of other dimensions than the table is an error; an empty table gives no rows.
@@ -227,7 +227,9 @@ def search(chunks: DataFrame, terms: list[str], query_vector: list[float] | None
     else:
         text = (text_hits if fetch else text_hits.join(seen.select("id"), "id", "left_semi")).orderBy(F.desc("score"), "id").limit(n)
     text = ranked(text, F.desc("score"), F.asc("id")).select("id", "rank")
-    if query_vector is not None:
+    if vector_hits is not None:
+        vec = ranked(vector_hits.orderBy("distance", "id").limit(n), F.asc("distance"), F.asc("id")).select("id", "rank")
+    elif query_vector is not None:
         vec = ranked(vectors.nearest(seen, "id", "vector", query_vector, n).select("id", "distance"), F.asc("distance"), F.asc("id")).select("id", "rank")
     else:
         vec = text.where("false")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, graph, ranking, sync
+from ..operators import evaluate, graph, index, ranking, sync
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -57,9 +57,7 @@ def one_hop(spark: SparkSession, d: str) -> DataFrame:
     SELECT path FROM t ORDER BY CASE WHEN d THEN 0 ELSE 1 END, s DESC, id LIMIT 1""")
 def symbol_file(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.chunks(spark, d)
-    top = ranking.bm25(rows, "id", "content", [SYMBOL], 10)
-    j = rows.select("id", "path", ranking.defines(SYMBOL).alias("d")).join(F.broadcast(top), "id")  # ten rows
-    return j.orderBy(F.when(F.col("d"), 0).otherwise(1), F.desc("score"), "id").limit(1).select("path")
+    return index.symbol_file(rows, ranking.bm25(rows, "id", "content", [SYMBOL], 10), SYMBOL)
 
 
 # two snapshots of the same files: the cache misses some, has others changed, and knows files that are gone

@@ -202,6 +202,35 @@ def test_symbol_table_reads_one_folder_and_equals_the_scan(spark, tmp_path, monk
     assert got == {r["path"] for r in chunks.where(F.array_contains("referenced_symbols", "fun1")).collect()} or not got
 
 
+def test_vectors_by_cells_equal_the_scan_and_read_less(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((9, 12)) * 8
+    texts = {f"d{i}.md": f"text {i % 9} {i}" for i in range(900)}
+
+    def embed(some):
+        r = [t.split() for t in some]
+        return np.array([centres[int(x[x.index("text") + 1]) % 9] + np.random.default_rng(len(t) + int(x[x.index("text") + 2])).standard_normal(12) if "text" in x else np.zeros(12) for x, t in zip(r, some)], np.float32)
+
+    root = str(tmp_path / "i")
+    index.build(spark, root, source(spark, texts), lambda: embed, 12)
+    index.build(spark, root, source(spark, {k: t for k, t in texts.items() if k != "d5.md"} | {"d7.md": "text 5 7777"}, 2.0), lambda: embed, 12)
+    now = index.open_index(spark, root)
+    rows = now.stored().select("segment", "doc", "path", "vector").collect()
+    v = np.array([r["vector"] for r in rows], np.float64)
+    for q in (centres[5], centres[0] + 0.5):
+        got, counts = now.nearest(q.tolist(), 20)
+        d = np.sqrt(((v - q) ** 2).sum(1))
+        want = sorted((round(float(x), 9), r["segment"], r["doc"]) for x, r in zip(d, rows))[:20]
+        assert sorted((round(r["distance"], 9), r["segment"], r["doc"]) for r in got.collect()) == want
+        assert counts["read"] < 0.5 * counts["rows"], counts
+    some = now.stored().where("path like 'd1%'").select("segment", "doc")
+    keys = {(r["segment"], r["doc"]) for r in some.collect()}
+    got = {(r["segment"], r["doc"]) for r in now.nearest(centres[5].tolist(), 20, some)[0].collect()}
+    assert len(got) == 20 and got <= keys
+    with pytest.raises(ValueError, match="dimensions"):
+        now.nearest([1.0], 3)
+
+
 def tree(root, texts):
     for p, t in texts.items():
         (root / p).parent.mkdir(parents=True, exist_ok=True)
