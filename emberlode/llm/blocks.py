@@ -46,10 +46,10 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(unplanes(raw, np.uint64), dtype=np.uint64)
 
 
-def borders(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each hash partition begins in ascending keys; parts + 1 places."""
-    edge = [(i << 64) // parts for i in range(1, parts)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edge, np.uint64)), [len(keys)]]).astype(np.int64)
+def partition_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The hash partition of each key: key * parts / 2**64, so ascending keys have ascending partitions. parts is below 2**32."""
+    low, n = np.uint64(0xFFFFFFFF), np.uint64(parts)
+    return (((keys >> np.uint64(32)) * n + (((keys & low) * n) >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
 
 
 def batch_of(docs: DataFrame, batches: int) -> Column:
@@ -96,9 +96,11 @@ def n_batches(docs: DataFrame) -> int:
 
 def ask(b: int, keys: np.ndarray, vals: np.ndarray, parts: int) -> pa.Table:
     """One block for each partition that has any of the ascending, distinct keys, which have a value each."""
-    at = borders(keys, parts)
-    full = np.flatnonzero(np.diff(at)).tolist()
-    return pa.table({"p": pa.array(full, pa.int32()), "b": pa.array([b] * len(full), pa.int32()), "keys": pa.array([pack_sorted(keys[at[p] : at[p + 1]]) for p in full], pa.binary()), "vals": pa.array([planes(vals[at[p] : at[p + 1]]) for p in full], pa.binary())})
+    part = partition_of(keys, parts)
+    # by the keys that there are, not by the partitions
+    at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+    full, cuts = part[at[:-1]].tolist(), list(zip(at[:-1].tolist(), at[1:].tolist()))
+    return pa.table({"p": pa.array(full, pa.int32()), "b": pa.array([b] * len(full), pa.int32()), "keys": pa.array([pack_sorted(keys[i:j]) for i, j in cuts], pa.binary()), "vals": pa.array([planes(vals[i:j]) for i, j in cuts], pa.binary())})
 
 
 def answered(asked: DataFrame, kind, combine: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:

@@ -451,8 +451,13 @@ def test_rounds_drop_their_own_tables_alone(spark):
 def test_block_codec():
     k = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (blocks.unpack_sorted(blocks.pack_sorted(k)) == k).all() and len(blocks.unpack_sorted(b"")) == 0
-    at = blocks.borders(k, 7)
-    assert at[0] == 0 and at[-1] == len(k) and (np.diff(at) >= 0).all()
+    for parts in (1, 7, 12, 25_000_000):
+        assert blocks.partition_of(k, parts).tolist() == [int(x) * parts >> 64 for x in k]
+        t = blocks.ask(3, k, np.arange(len(k)), parts)
+        assert t["p"].to_pylist() == sorted({int(x) * parts >> 64 for x in k})
+        assert np.concatenate([blocks.unpack_sorted(x) for x in t["keys"].to_pylist()]).tolist() == k.tolist()
+        assert np.concatenate([blocks.unplanes(x, np.int64) for x in t["vals"].to_pylist()]).tolist() == list(range(len(k)))
+    assert len(blocks.ask(0, k[:0], np.zeros(0, np.int64), 5)) == 0
 
 
 def test_pipeline_stages(spark):
