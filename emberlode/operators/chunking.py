@@ -33,11 +33,15 @@ def line_pieces(text: Column, size: int = config.CHUNK_LINES, stride: int = STRI
 def char_pieces(text: Column, first_line: Column, size: int = config.CHUNK_CHARS, stride: int = STRIDE_CHARS) -> Column:
     """Array of (content, start_line, end_line): windows of characters without blank ones."""
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    piece = lambda i: F.substring(text, i + 1, F.lit(size))
-    made = F.transform(
-        _starts(F.length(text), stride),
-        lambda i: F.struct(piece(i).alias("content"), (first_line + breaks(F.substring(text, F.lit(1), i))).alias("start_line"), (first_line + breaks(F.substring(text, F.lit(1), i)) + breaks(piece(i))).alias("end_line")),
-    )
+    piece = lambda i, n: F.substring(text, i + 1, F.lit(n))
+    none = F.array().cast("array<struct<content:string,start_line:int,end_line:int>>")
+
+    def step(a: Column, i: Column) -> Column:
+        """The line breaks of a stride are counted once, and carried on."""
+        at = (first_line + a["lines"]).cast("int")
+        return F.struct((a["lines"] + breaks(piece(i, stride))).alias("lines"), F.concat(a["made"], F.array(F.struct(piece(i, size).alias("content"), at.alias("start_line"), (at + breaks(piece(i, size))).alias("end_line")))).alias("made"))
+
+    made = F.aggregate(_starts(F.length(text), stride), F.struct(F.lit(0).alias("lines"), none.alias("made")), step, lambda a: a["made"])
     return F.filter(made, lambda p: ~_blank(p["content"]))
 
 

@@ -157,6 +157,41 @@ def without_overlaps(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return df.join(ids, [*by, "id"], "left_semi")
 
 
+def without_overlaps_streamed(df: DataFrame) -> DataFrame:
+    """without_overlaps for a table of any size: the hits of a path stream by rank past its kept ranges.
+
+    Kept ranges share at most half of the shorter, so a path has about as many as its
+    file has lines, however many hits it has; ranges without length overlap nothing and
+    aren't held.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    first = Window.partitionBy("id").orderBy("rank")
+    names = df.columns
+    rows = df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").repartition("path").sortWithinPartitions("path", "rank", "start_line", "end_line", "id")
+
+    def stream(batches):
+        path, held, kept = None, np.zeros((64, 2), np.int64), 0
+        at = [names.index(c) for c in ("path", "start_line", "end_line")]
+        for b in batches:
+            ok = np.zeros(len(b), bool)
+            for i, (p, s, e) in enumerate(zip(*(b.column(c).to_pylist() for c in at))):
+                if i == 0 and path is None or p != path:
+                    path, kept = p, 0
+                near = held[:kept]
+                shared = np.minimum(e, near[:, 1]) - np.maximum(s, near[:, 0])
+                if not (np.maximum(shared, 0) > 0.5 * np.minimum(e - s, near[:, 1] - near[:, 0])).any():
+                    ok[i] = True
+                    if e > s:
+                        if kept == len(held):
+                            held = np.concatenate([held, np.zeros_like(held)])
+                        held[kept], kept = (s, e), kept + 1
+            yield b.filter(pa.array(ok))
+
+    return rows.mapInArrow(stream, df.schema)
+
+
 def per_file(df: DataFrame, cap: int = config.PER_FILE, k: int | None = None) -> DataFrame:
     """The best cap hits of each path, then the best k of all."""
     out = df.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("rank"))).where(F.col("_n") <= cap).drop("_n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pivots, vectors
-from ..operators import evaluate, fulltext, many, ranking, symbols
+from ..operators import evaluate, fulltext, index, many, ranking, store, symbols
 from ..sources import providers
 from . import fixtures as fx
 from .search import _BM25, _D, _L2, TERMS, ORACLE_SQL as _SEARCH_SQL, _boost_sql, _query_vector, _vectors
@@ -153,3 +153,39 @@ def rank_sweep(spark: SparkSession, d: str) -> DataFrame:
     chunks = fx.chunks(spark, d).join(v, "id", "left")
     out = many.sweep(many.features(chunks, queries, 500), many.settings(spark, _SETTINGS), cases)
     return out.withColumns({"mrr": F.round("mrr", 9), "recall": F.round("recall", 9)})
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, which goes with the driver's JVM; of this machine only in local mode, where none is set."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        where = "file://" + tempfile.mkdtemp(prefix="emberlode-index-")
+    made = store.Store(spark, where)
+    root = made.at(made.new("index"))
+    made._fs.mkdirs(made._path(root.rsplit("/", 1)[1]))
+    made._fs.deleteOnExit(made._path(root.rsplit("/", 1)[1]))
+    return root
+
+
+@query("""WITH f AS (SELECT 'd/' || doc_id || '.md' AS path, coalesce(text, '') || CASE WHEN doc_id % 5 = 1 THEN chr(10) || 'more' ELSE '' END AS t FROM documents WHERE doc_id % 7 <> 0 AND strlen(coalesce(text, '')) > 0),
+    l AS (SELECT path, sha256(t) AS hash, string_split(t, chr(10)) AS l FROM f), w AS (SELECT path, unnest(list_transform(range(0, len(l), 65), lambda i: array_to_string(l[i + 1:i + 75], chr(10)))) AS x FROM l),
+    p AS (SELECT path, unnest(CASE WHEN length(x) > 2000 THEN list_transform(range(0, length(x), 1800), lambda i: substring(x, CAST(i + 1 AS BIGINT), 2000)) ELSE [x] END) AS x FROM w),
+    n AS (SELECT path, count(*) AS n FROM p WHERE regexp_matches(x, '[^\\s\\x0B]') GROUP BY path)
+    SELECT l.path, l.hash, coalesce(n.n, 0) AS n_chunks, CAST(1 AS BIGINT) AS n_anchors FROM l LEFT JOIN n USING (path)""")
+def index_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as files, indexed in two builds: some are new in the second, some changed, some gone. What the index then has by file."""
+    i = F.col("doc_id")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("text <> ''")
+
+    def files(rows: DataFrame, content) -> DataFrame:
+        return rows.select(F.concat(F.lit("d/"), i.cast("string"), F.lit(".md")).alias("path"), content.alias("content"), F.sha2(content.cast("binary"), 256).alias("hash"), F.when(i % 5 == 1, F.length(content)).otherwise(i).cast("double").alias("mtime_ms"), F.octet_length(content).cast("long").alias("size"))
+
+    root, t = _folder(spark), F.col("text")
+    index.build(spark, root, files(docs.where(i % 10 != 9), t))
+    index.build(spark, root, files(docs.where(i % 7 != 0), F.when(i % 5 == 1, F.concat(t, F.lit("\nmore"))).otherwise(t)))
+    rows = index.open_index(spark, root).chunks()
+    return rows.groupBy("path").agg(F.max("hash").alias("hash"), F.count_if(~F.col("is_anchor")).alias("n_chunks"), F.count_if("is_anchor").alias("n_anchors"))

@@ -215,7 +215,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
           UNION ALL SELECT path, h, n + 1, CASE WHEN len(list_filter(kept, lambda y: greatest(0, least(y.e, h[n + 1].e) - greatest(y.s, h[n + 1].s)) > 0.5 * least(y.e - y.s, h[n + 1].e - h[n + 1].s))) > 0 THEN kept ELSE list_append(kept, h[n + 1]) END FROM g WHERE n < len(h)),
     k AS (SELECT path, unnest(kept) AS x FROM g WHERE n = len(h)) SELECT x.i AS id, path, x.k AS rank FROM k""")
 def overlap_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.without_overlaps(_hits(spark, d)).select("id", "path", "rank")
+    return ranking.without_overlaps_streamed(_hits(spark, d).select("id", "path", "rank", "start_line", "end_line")).select("id", "path", "rank")
 
 
 @query(f"WITH {fx.CHUNKS}, {_HITS}, n AS (SELECT *, (SELECT count(*) FROM hits b WHERE b.path = a.path AND b.rank < a.rank) AS before FROM hits a) SELECT id, path, rank FROM n WHERE before < 3 ORDER BY rank LIMIT 100")
@@ -280,18 +280,20 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     o AS (SELECT path, list({{'s': start_line, 'e': end_line}} ORDER BY start_line, n) AS h FROM top GROUP BY path),
     g AS (SELECT path, h, 1 AS n, h[1].s AS s, h[1].e AS e, 1 AS c, 0 AS done FROM o
           UNION ALL SELECT path, h, n + 1, CASE WHEN h[n + 1].s <= e + 10 THEN s ELSE h[n + 1].s END, h[n + 1].e, CASE WHEN h[n + 1].s <= e + 10 THEN c + 1 ELSE 1 END, 0 FROM g WHERE n < len(h)),
-    l AS (SELECT *, lead(c) OVER (PARTITION BY path ORDER BY n) AS nx FROM g)
-    SELECT path, CAST(s AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line, CAST(c AS INTEGER) AS n FROM l WHERE nx IS NULL OR nx = 1""")
+    l AS (SELECT path, n, s, e, c, sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY n) AS grp FROM g),
+    t AS (SELECT path, content, row_number() OVER (PARTITION BY path ORDER BY start_line, n) AS n FROM top)
+    SELECT l.path, CAST(arg_max(s, l.n) AS INTEGER) AS start_line, CAST(arg_max(e, l.n) AS INTEGER) AS end_line, CAST(max(c) AS INTEGER) AS n, sha256(string_agg(content, chr(10) || '   // ...' || chr(10) ORDER BY l.n)) AS content_sha256
+    FROM l JOIN t ON t.path = l.path AND t.n = l.n GROUP BY l.path, grp""")
 def stitch(spark: SparkSession, d: str) -> DataFrame:
     hits = _hits(spark, d).withColumn("score", F.col("rank").cast("double"))
-    return present.stitch(hits).select("path", "start_line", "end_line", "n")
+    return present.stitch(hits).select("path", "start_line", "end_line", "n", F.sha2("content", 256).alias("content_sha256"))
 
 
 @query(f"""WITH {fx.CHUNKS}, {_HITS}, p AS (SELECT *, list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l, rank / 100003 AS sc FROM hits)
     SELECT path, (start_line + 1) || '-' || (end_line + 1) AS range, CASE role WHEN 'DEFINITION' THEN 'DEF' WHEN 'ORCHESTRATION' THEN 'ORCH' WHEN 'IMPLEMENTATION' THEN 'IMPL' WHEN 'DOCS' THEN 'DOCS' ELSE 'UNK' END AS role,
       CASE WHEN sc > 0.8 THEN 'H' WHEN sc > 0.5 THEN 'M' ELSE 'L' END AS conf, defined_symbols AS defined,
-      CASE WHEN length(coalesce(l[1], defined_symbols[1], '')) > 140 THEN substring(coalesce(l[1], defined_symbols[1], ''), 1, 140) || '...' ELSE coalesce(l[1], defined_symbols[1], '') END AS preview FROM p""")
+      CASE WHEN length(coalesce(l[1], defined_symbols[1], '')) > 140 THEN substring(coalesce(l[1], defined_symbols[1], ''), 1, 140) || '...' ELSE coalesce(l[1], defined_symbols[1], '') END AS preview, regexp_replace(regexp_replace(printf('%.3f', sc), '^0\\.', '.'), '\\.?0+$', '') AS score FROM p""")
 def compact_hits(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("rank") / 100003.0
     hits = _hits(spark, d).withColumn("score", s).withColumn("confidence", F.when(s > 0.8, "High").when(s > 0.5, "Medium").otherwise("Low"))
-    return present.compact(hits).drop("score")
+    return present.compact(hits)

@@ -112,3 +112,12 @@ def test_int8_rounds_halves_up(spark):
     df = spark.createDataFrame([([[127.0, 0.5, -0.5, -1.5]],), ([[0.0]],)], "r array<array<double>>")
     rows, scale = vectors.quantize_int8(F.col("r"))
     assert [tuple(x) for x in df.select(rows, scale).collect()] == [([[127, 1, 0, -1]], 127.0), ([[0]], 1.0)]
+
+
+def test_streamed_overlaps_equal_the_fold(spark):
+    rng = random.Random(7)
+    rows = [(f"h{rng.randrange(900)}", rng.choice(["a", "b", "c", None]), i, s := rng.randrange(60), s + rng.choice([0, 0, 1, 5, 9, 30])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id string, path string, rank int, start_line int, end_line int").repartition(3)
+    want = sorted(map(tuple, ranking.without_overlaps(df).collect()), key=str)
+    assert sorted(map(tuple, ranking.without_overlaps_streamed(df).collect()), key=str) == want and 0 < len(want) < 900
+    assert ranking.without_overlaps_streamed(df.limit(0)).count() == 0

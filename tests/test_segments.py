@@ -196,6 +196,7 @@ def test_symbol_table_reads_one_folder_and_equals_the_scan(spark, tmp_path, monk
         assert now.callers(s).collect() == graph.callers(chunks, s).collect()
         assert sorted(map(tuple, now.one_hop(s).collect()), key=repr) == sorted(map(tuple, graph.one_hop(chunks, s).collect()), key=repr)
     assert now.symbols().collect() == graph.symbols(chunks).collect() and now.symbols("FUN1").count() == 1
+    assert now.symbols(path_prefix="src/f2").collect() == graph.symbols(chunks, path_prefix="src/f2").collect() and now.symbols(path_prefix="src/f2").first()["symbol"] == "fun2"
     plan = spark._jvm.PythonSQLUtils.explainString(now.entries("fun1")._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [IsNotNull(symbol), EqualTo(symbol,fun1)" in plan and "PartitionFilters: [isnotnull(bucket" in plan and "/chunks" not in plan
     got = {r["path"] for r in now.search("anything", 10, providers.hashing_embedder(384), referenced="fun1").collect()}
