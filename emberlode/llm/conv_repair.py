@@ -36,6 +36,15 @@ LEGAL = ("su", "ua", "au")
 GONE = "x"
 
 
+def _text(column: str) -> Column:
+    """Null is one space."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+
+
+def _plain(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _text("role").alias("role"), _text("text").alias("text"), *more)
+
+
 def damage(rows: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, dropped: conversations with one fault by crc32 of `conv_id:turn` modulo 20.
 
@@ -43,9 +52,8 @@ def damage(rows: DataFrame) -> DataFrame:
     empties the text, 2 removes its .!?, 3 repeats the row, 4 makes it the user's. Null
     is one space, in the key, the role and the text; a turn stays null.
     """
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
-    kind = (F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20).cast("int")
-    out = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"), kind.alias("kind"))
+    kind = (F.crc32(F.concat(_text("conv_id"), F.lit(":"), _text("turn")).cast("binary")) % 20).cast("int")
+    out = _plain(rows, kind.alias("kind"))
     times = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     out = out.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]+", "")).otherwise(F.col("text")).alias("text"), (F.col("kind") == 0).alias("dropped"), times.alias("_"))
     return out.drop("_")
@@ -346,5 +354,5 @@ def repair(conversations: DataFrame, damaged: bool = False) -> tuple[DataFrame,
     tables give no rows; other columns are ignored. Texts and conversations may be of any
     length: rows stream, and only the audit, a letter or so a row, is held.
     """
-    rows = conversations.select("conv_id", "turn", "role", "text", F.lit(False).alias("dropped")) if damaged else damage(conversations)
+    rows = _plain(conversations, F.lit(False).alias("dropped")) if damaged else damage(conversations)
     return rows, solve(signatures(rows))
