@@ -174,17 +174,13 @@ class Index:
 
     def fetch(self, keys: DataFrame) -> DataFrame:
         """STORED rows of keys(segment, doc), a few thousand at most: reads the parts that hold them alone."""
-        keys = keys.select(*fulltext.KEY).persist(StorageLevel.MEMORY_AND_DISK)
-        where = sorted({(r["segment"], r["part"]) for r in keys.select("segment", F.shiftright("doc", 33).cast("int").alias("part")).distinct().collect()})
-        out = []
+        few = [(r["segment"], r["doc"]) for r in keys.select(*fulltext.KEY).collect()]
+        out = self.spark.createDataFrame([], STORED)
         for s in self.version["segments"]:
-            mine = [p for name, p in where if name == s["name"]]
+            mine = sorted({d >> 33 for name, d in few if name == s["name"]})
             if mine:
-                out.append(self._read("chunks", STORED, [s]).where(F.col("part").isin(mine)))
-        rows = out[0] if out else self.spark.createDataFrame([], STORED)
-        for more in out[1:]:
-            rows = rows.unionByName(more)
-        return rows.join(F.broadcast(keys), fulltext.KEY, "left_semi")
+                out = out.unionByName(self._read("chunks", STORED, [s]).where(F.col("part").isin(mine)))
+        return out.join(F.broadcast(self.spark.createDataFrame(few, "segment string, doc long")), fulltext.KEY, "left_semi")
 
     def _in_folders(self, kind: str, schema: str, bucket) -> DataFrame:
         """Rows of a kind from the folders that bucket(number of folders of a segment) lists."""
@@ -213,10 +209,11 @@ class Index:
         return fulltext.top_k(self.postings(terms), terms, k, stats["docs"], stats["terms"], self.gone, self._gone("terms", GONE_TERMS), allowed, first)
 
     def bm25(self, terms: list[str], k: int) -> DataFrame:
-        """(id, score) of the best k, by falling score, then id."""
+        """(id, score) of the best k, by falling score, then id; of equals at the k-th place, the first by segment and number."""
         hits, _ = self.text_hits(terms, k)
-        hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
-        return self.fetch(hits).select(*fulltext.KEY, "id").join(hits, fulltext.KEY).select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+        rows = [(r["segment"], r["doc"], r["score"]) for r in hits.orderBy(F.desc("score"), *fulltext.KEY).limit(k).collect()]
+        best = self.spark.createDataFrame(rows, "segment string, doc long, score double")
+        return self.fetch(best).select(*fulltext.KEY, "id").join(F.broadcast(best), fulltext.KEY).select("id", "score").orderBy(F.desc("score"), "id")
 
     def nearest(self, query: list[float], k: int, allowed: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
         """((segment, doc, distance) of the k nearest living chunks by L2, exact; counts of rows and of rows read).
@@ -287,7 +284,12 @@ class Index:
             text_hits=text.select(key.alias("id"), "score"), fetch=fetch, skip=tokens.skip if tokens else frozenset(), **more,
         )
         names = rows[0].select("id", "chunk_id")
-        return hits.join(names, "id").select(F.col("chunk_id").alias("id"), *[c for c in hits.columns if c != "id"]).orderBy("rank")
+        out = hits.join(names, "id").select(F.col("chunk_id").alias("id"), *[c for c in hits.columns if c != "id"]).orderBy("rank")
+        try:  # RERANK_TOP rows at most, so that what the search held can go
+            return self.spark.createDataFrame(out.collect(), out.schema)
+        finally:
+            if allowed is not None:
+                allowed.unpersist()
 
     def callers(self, symbol: str, limit: int = 100) -> DataFrame:
         """graph.callers by the symbol table."""
