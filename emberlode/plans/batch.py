@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,9 @@ def fts_top_blocks(spark: SparkSession, d: str) -> DataFrame:
     """bm25 by posting blocks: only ranges that can reach the 100th score are scored."""
     docs = fx.chunks(spark, d).select(F.lit("all").alias("segment"), F.col("id").alias("doc"), "content")
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(ranking.tokens(F.col("content")))).alias("terms")).first()
-    hits, _ = fulltext.top_k(fulltext.blocks(docs, bits=16), TERMS, 100, stats["n"], stats["terms"] or 0)
+    # the asked terms' postings are read several times, as a stored index is
+    made = fulltext.blocks(docs, bits=16).where(F.col("term").isin(TERMS)).persist(StorageLevel.MEMORY_AND_DISK)
+    hits, _ = fulltext.top_k(made, TERMS, 100, stats["n"], stats["terms"] or 0)
     return hits.orderBy(F.desc("score"), "doc").limit(100).select(F.col("doc").alias("id"), F.round("score", 6).alias("score"))
 
 
