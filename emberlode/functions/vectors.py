@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,15 @@ def l2_norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once a row, not at each element of a lambda that names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def l2_normalize(a: Column) -> Column:
     """Unit vector; the null vector stays as it is."""
-    n = l2_norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    unit = lambda v, n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return _once(a, lambda v: _once(l2_norm(v), lambda n: unit(v, n)))
 
 
 def l2_distance(a: Column, b: Column) -> Column:

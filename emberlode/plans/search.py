@@ -33,8 +33,14 @@ def _query_vector(spark: SparkSession, d: str) -> list[float]:
     return [float(x) for x in _vectors(spark, d).where("vec_id = 0").select("embedding").first()[0]]
 
 
+def _round(x, digits: int) -> "F.Column":
+    """F.round, but what rounds to 0 keeps its sign, as in the SQL."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+
+
 def _rounded(c) -> "F.Column":
-    return F.transform(c, lambda x: F.round(x, 6))
+    return F.transform(c, lambda x: _round(x, 6))
 
 
 _D = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
@@ -53,7 +59,7 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 def cosine(spark: SparkSession, d: str) -> DataFrame:
     q = F.lit(_query_vector(spark, d))
     v = F.col("embedding")
-    return _vectors(spark, d).select("vec_id", F.round(vectors.dot(v, q) / (vectors.l2_norm(v) * vectors.l2_norm(q)), 6).alias("cosine"))
+    return _vectors(spark, d).select("vec_id", _round(vectors.dot(v, q) / (vectors.l2_norm(v) * vectors.l2_norm(q)), 6).alias("cosine"))
 
 
 @query(f"WITH {_D} SELECT vec_id AS id, round({_L2}, 6) AS distance FROM e, q ORDER BY {_L2}, vec_id LIMIT 50")
@@ -90,7 +96,7 @@ def maxsim(spark: SparkSession, d: str) -> DataFrame:
     rows, scale = vectors.quantize_int8(vectors.token_rows(F.col("embedding"), 16))
     packed = _vectors(spark, d).select("vec_id", vectors.packed_int8(rows).alias("tokens"), scale.alias("scale"))
     out = vectors.maxsim(packed, np.array(_query_vector(spark, d), np.float32).reshape(4, 16), "tokens", "scale", 16)
-    return out.select("vec_id", F.round("maxsim", 3).alias("maxsim"))
+    return out.select("vec_id", _round(F.col("maxsim"), 3).alias("maxsim"))
 
 
 _BM25 = r"""tk AS (SELECT id, path, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS t FROM chunks),
