@@ -39,6 +39,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("id", F.col("doc_id") * 1000 + F.col("chunk_index"))
 
 
+def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """with_vectors' rows that have a vector, without their texts: id, vector."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("vec_id"))
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").join(d, "vec_id", "left_semi")
+    return v.select((F.col("vec_id") * 1000).alias("id"), F.col("embedding").alias("vector"))
+
+
 def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") * 1000).alias("id"), F.col("embedding").alias("vector"))
     return chunks(spark, sf_dir).join(v, "id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions import paths, vectors
 from ..operators import present, ranking
 from . import fixtures as fx
@@ -147,9 +148,9 @@ _FUSED = f"""{fx.CHUNKS}, {_BM25}, {_VEC}, fr AS (SELECT id, row_number() OVER (
 
 
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = fx.with_vectors(spark, d)
+    rows = fx.chunks(spark, d)
     text = ranking.ranked(ranking.bm25(rows, "id", "content", TERMS, 500), F.desc("score"), F.asc("id"))
-    vec = ranking.ranked(vectors.nearest(rows, "id", "vector", _query_vector(spark, d), 500), F.asc("distance"), F.asc("id"))
+    vec = ranking.ranked(vectors.nearest(fx.vectors_of(spark, d), "id", "vector", _query_vector(spark, d), 500), F.asc("distance"), F.asc("id"))
     return rows, vec, text
 
 
@@ -175,7 +176,7 @@ def _staged(spark: SparkSession, d: str) -> DataFrame:
     rows, fused = _fused(spark, d)
     pooled = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 97).cast("double"))
     # at most 1000 fused candidates
-    cand = rows.drop("vector").join(F.broadcast(fused.where("fused_rank < 200")), "id").withColumn("pooled_score", pooled)
+    cand = rows.join(F.broadcast(fused.where("fused_rank < 200")), "id").withColumn("pooled_score", pooled)
     return ranking.cascade(cand)
 
 
@@ -248,6 +249,11 @@ def min_score(spark: SparkSession, d: str) -> DataFrame:
     return ranking.at_least(s, F.col("score"), 0.02).select("id", F.round("score", 9).alias("score"))
 
 
+def _vector_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The search's nearest chunks, from the vectors alone: no text is joined to them."""
+    return vectors.nearest(fx.vectors_of(spark, d), "id", "vector", _query_vector(spark, d), config.candidates(K))
+
+
 _HYBRID = _STAGED.replace("CASE WHEN c.doc_id % 3 = 0 THEN NULL ELSE c.doc_id % 97 END AS pooled_score", "NULL AS pooled_score")
 
 
@@ -262,7 +268,7 @@ def _searched(staged: str, base: str, digits: int) -> str:
 @query(_searched(_HYBRID, "fused", 6))
 def hybrid_search_rerank_off(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid search by fusion and boosts alone."""
-    hits = ranking.search(fx.with_vectors(spark, d), TERMS, _query_vector(spark, d), K, "FLOW")
+    hits = ranking.search(fx.chunks(spark, d), TERMS, None, K, "FLOW", vector_hits=_vector_hits(spark, d))
     return _long(hits.withColumn("score", F.round("score", 6)), "rank")
 
 
@@ -278,7 +284,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: full text and vector candidates, fusion, pooled stage, late interaction, boosts, diversity, calibration."""
     v = _query_vector(spark, d)
     # tokens are made for the candidates alone
-    hits = ranking.search(fx.with_vectors(spark, d), TERMS, v, K, "FLOW", query_tokens=[v[i : i + 16] for i in range(0, 64, 16)], fetch=lambda few: fx.tokens_of(spark, d, few))
+    hits = ranking.search(fx.chunks(spark, d), TERMS, None, K, "FLOW", vector_hits=_vector_hits(spark, d), query_tokens=[v[i : i + 16] for i in range(0, 64, 16)], fetch=lambda few: fx.tokens_of(spark, d, few))
     return _long(hits.withColumn("score", F.round("score", 4)), "rank")
 
 
