@@ -132,15 +132,13 @@ def nearest(df: DataFrame, id_col: str, vector: str, query: list[float], k: int,
     return rows.mapInArrow(scan, f"id {kind}, distance double").orderBy("distance", "id").limit(k)
 
 
-#: Query vectors that one scan serves, and the tasks' lists that meet at first in the final top-k of a query.
-QUERIES_A_SCAN, SALTS = 1024, 64
+#: Query vectors that one scan serves, and the most tasks that scan for many queries: each brings k rows a query to the final top-k.
+QUERIES_A_SCAN, PARTS = 1024, 64
 
 
 def best_of(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """The best k rows of each value of by: of parts of its rows first, so no task gets all rows of one value."""
-    some = Window.partitionBy(*by, "_salt").orderBy(*order)
-    part = df.withColumn("_salt", F.spark_partition_id() % SALTS).withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= k).drop("_salt", "_n")
-    return part.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+    """The best k rows of each value of by, of PARTS times k at most."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
 def nearest_many(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
@@ -153,7 +151,7 @@ def nearest_many(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k:
     """
     kind = "string" if df.schema[id_col].dataType.simpleString() == "string" else "bigint"
     query_kind = "string" if queries.schema["query_id"].dataType.simpleString() == "string" else "bigint"
-    rows = df.select(F.col(id_col).cast(kind), F.col(vector).cast("array<double>")).where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
+    rows = df.select(F.col(id_col).cast(kind), F.col(vector).cast("array<double>")).where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).coalesce(PARTS)
     schema = f"query_id {query_kind}, id {kind}, distance double"
 
     def block(ids: list, q: np.ndarray) -> DataFrame:

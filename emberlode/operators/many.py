@@ -6,6 +6,12 @@ a running best of every query. Everything after it has at most 2 x n rows a quer
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +19,8 @@ from .. import config
 from ..functions import vectors
 from . import ranking
 
+#: Queries whose texts are scored by one scan (a task holds n hits of each), and rows that are scored at once.
+QUERIES_A_SCAN, SLICE = 8192, 4096
 #: What a setting says; see settings().
 SETTING = "setting string, stage1 int, stage2 int, top int, blend double, rerank boolean, per_file int, k int, anchor double, test double, docs double, prose double, short double"
 DEFAULT = {"stage1": config.STAGE1, "stage2": config.STAGE2, "top": config.RERANK_TOP, "blend": config.BLEND, "rerank": False, "per_file": config.PER_FILE, "k": 20, **ranking.FACTORS}
@@ -30,45 +38,126 @@ def settings(spark, named: dict[str, dict[str, object]]) -> DataFrame:
     return spark.createDataFrame(rows, SETTING)
 
 
+def _asked_counts(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, row, count) of a batch's asked tokens, by term and row, and the number of tokens of each row; batch(id, tokens)."""
+    size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    asked = at >= 0
+    key, n = np.unique(at[asked] * len(batch) + np.repeat(np.arange(len(batch)), size)[asked], return_counts=True)
+    return key // len(batch), key % len(batch), n, size
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most, none of them empty."""
+    for b in batches:
+        for i in range(0, len(b), SLICE):
+            yield b.slice(i, SLICE)
+
+
 def bm25(df: DataFrame, id_col: str, text: str, queries: DataFrame, k: int, k1: float = config.BM25_K1, b: float = config.BM25_B) -> DataFrame:
     """(query_id, id, score): ranking.bm25's best k of every query of queries(query_id, terms).
 
-    The texts are cut into tokens once for all queries; only tokens that a query asks for
-    leave the row, and their counts are summed before the shuffle.
+    Two scans of the text, as there: statistics, a row an asked term, then scores. A task
+    scores its rows for all queries and keeps the k best of each, so k rows a query and
+    task are shuffled, of PARTS tasks at most. Like documents have like scores to the
+    last bit: parts are added in the order of a query's terms. The terms of QUERIES_A_SCAN queries go to the tasks
+    at once. Ids are unique; rows without one count but aren't found.
     """
-    # the terms of the stated queries
-    asked = queries.select("query_id", F.posexplode(F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).alias("at", "term"))
-    base = df.select(F.col(id_col).alias("id"), ranking.tokens(F.col(text)).alias("_t"))
-    stats = base.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("_t")).alias("avg"))
-    words = base.select("id", F.size("_t").alias("len"), F.explode("_t").alias("term"))
-    tf = words.join(F.broadcast(asked.select("term").distinct()), "term").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = df_.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.coalesce("avg", F.lit(1.0)).alias("avg"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    # a row an asked term, and a row a query and term
-    scored = tf.join(F.broadcast(weight), "term").join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(ranking.summed(F.col("at"), part).alias("score"))
-    return vectors.best_of(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
-
-
-def candidates(chunks: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    kind = "string" if df.schema[id_col].dataType.simpleString() == "string" else "bigint"
+    query_kind = "string" if queries.schema["query_id"].dataType.simpleString() == "string" else "bigint"
+    schema = f"query_id {query_kind}, id {kind}, score double"
+    none = df.sparkSession.createDataFrame([], schema)
+    rows = df.select(F.col(id_col).cast(kind).alias("id"), ranking.tokens(F.col(text)).alias("_t")).coalesce(vectors.PARTS)
+    asked = [(r[0], r[1]) for r in queries.select(F.col("query_id").cast(query_kind), F.array_distinct(F.transform("terms", lambda t: F.lower(t)))).toLocalIterator() if r[1]]
+    words = sorted({t for _, ts in asked for t in ts if t is not None})
+    if not words:
+        return none
+    place, every = {t: i for i, t in enumerate(words)}, pa.array(words, pa.string())
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, docs, size = np.zeros(len(words), np.int64), 0, 0
+        for x in _slices(batches):
+            term, _, _, sizes = _asked_counts(x, every)
+            n, docs, size = n + np.bincount(term, minlength=len(words)), docs + len(x), size + int(sizes.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(-2, len(words)), pa.int32()), pa.array([docs, size, *n.tolist()], pa.int64())], names=["term", "n"])
+
+    # a row an asked term, and two
+    known = {r["term"]: r["n"] for r in rows.mapInArrow(told, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    docs = known.get(-2, 0)
+    avg = known[-1] / docs if docs and known[-1] else 1.0
+    idf = [math.log(1 + (docs - known.get(i, 0) + 0.5) / (known.get(i, 0) + 0.5)) for i in range(len(words))]
+
+    def block(some: list[tuple[object, list[str]]]) -> DataFrame:
+        mine = sorted({place[t] for _, ts in some for t in ts if t is not None})
+        near = {g: i for i, g in enumerate(mine)}
+        wanted = [(q, [near[place[t]] for t in ts if t is not None]) for q, ts in some]
+        terms, weight = pa.array([words[g] for g in mine], pa.string()), np.array([idf[g] for g in mine])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(wanted)
+            for x in _slices(batches):
+                x = x.filter(x.column(0).is_valid())
+                if not len(x):
+                    continue
+                ids = x.column(0).to_numpy(zero_copy_only=False)
+                ids = ids.astype(str) if kind == "string" else ids
+                term, row, n, size = _asked_counts(x, terms)
+                share = weight[term] * n * (k1 + 1) / (n + k1 * (1 - b + b * size[row] / avg))
+                ends = np.searchsorted(term, np.arange(len(mine) + 1))
+                for j, (_, at) in enumerate(wanted):
+                    score = np.zeros(len(x))
+                    for t in at:
+                        score[row[ends[t] : ends[t + 1]]] += share[ends[t] : ends[t + 1]]
+                    full = best[j] is not None and len(best[j][0]) == k
+                    some_ = np.flatnonzero(score >= best[j][1][-1] if full else score > 0)
+                    if not len(some_):
+                        continue
+                    if len(some_) > k:  # ties with the k-th stay
+                        s = score[some_]
+                        some_ = some_[s >= np.partition(s, len(s) - k)[len(s) - k]]
+                    found, s = ids[some_], score[some_]
+                    if best[j] is not None:
+                        found, s = np.concatenate([best[j][0], found]), np.concatenate([best[j][1], s])
+                    first = np.lexsort((found, -s))[:k]
+                    best[j] = found[first], s[first]
+            for (q, _), got in zip(wanted, best):
+                if got is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(got[0]), pa.string() if query_kind == "string" else pa.int64()), pa.array(got[0].tolist(), pa.string() if kind == "string" else pa.int64()), pa.array(got[1], pa.float64())], names=["query_id", "id", "score"])
+
+        return rows.mapInArrow(scan, schema)
+
+    out = none
+    for i in range(0, len(asked), QUERIES_A_SCAN):
+        made = block(asked[i : i + QUERIES_A_SCAN])
+        out = made if not i else out.unionByName(made)
+    return vectors.best_of(out, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def candidates(chunks: DataFrame, queries: DataFrame, n: int, vectors_of: DataFrame | None = None) -> DataFrame:
     """query_id, id, fused, fused_rank: the first STAGE1 candidates of every query, or more if a setting asks (see features)."""
-    vec = ranking.ranked(vectors.nearest_many(chunks, "id", "vector", queries.select("query_id", "vector"), n), F.asc("distance"), F.asc("id"), by=("query_id",))
+    vec = ranking.ranked(vectors.nearest_many(chunks if vectors_of is None else vectors_of, "id", "vector", queries.select("query_id", "vector"), n), F.asc("distance"), F.asc("id"), by=("query_id",))
     text = ranking.ranked(bm25(chunks, "id", "content", queries, n), F.desc("score"), F.asc("id"), by=("query_id",))
     return ranking.ranked(ranking.fuse(vec, text, by=("query_id",)), F.desc("fused"), F.asc_nulls_last("vec_rank"), F.asc_nulls_last("fts_rank"), name="fused_rank", by=("query_id",))
 
 
-def features(chunks: DataFrame, queries: DataFrame, n: int, stage1: int = config.STAGE1) -> DataFrame:
+def features(chunks: DataFrame, queries: DataFrame, n: int, stage1: int = config.STAGE1, vectors_of: DataFrame | None = None) -> DataFrame:
     """What any setting needs of each candidate: fused score and rank, pooled score, late interaction, and the chunk's structure.
 
     queries: query_id, terms array<string>, vector array<double>, intent string and, for
     reranking, tokens array<array<double>> (the query's unit token rows). chunks: see
     ranking.search; with token rows `rows` array<array<double>> (dequantised) and `pooled`
-    if queries have tokens. n: candidates of each retriever.
+    if queries have tokens. vectors_of(id, vector, and rows and pooled): the chunks'
+    vectors, each with its id, where they are a table of their own; then the texts are not
+    joined to all of them. n: candidates of each retriever. Of a candidate's text its
+    beginning is returned, which is what the boosts look at.
     """
-    few = candidates(chunks, queries, n).where(F.col("fused_rank") < stage1)
-    rows = ["id", "path", "start_line", "end_line", "content", "chunk_type", "role", "referenced_symbols", "is_anchor", "is_exported"]
+    few = candidates(chunks, queries, n, vectors_of).where(F.col("fused_rank") < stage1)
+    rows = ["id", "path", "start_line", "end_line", F.substring("content", 1, 50).alias("content"), "chunk_type", "role", "referenced_symbols", "is_anchor", "is_exported"]
     with_tokens = "tokens" in queries.columns
-    out = chunks.select(*rows, *(["rows", "pooled"] if with_tokens else [])).join(few, "id")
+    states = ["rows", "pooled"] if with_tokens else []
+    out = chunks.select(*rows, *(states if vectors_of is None else [])).join(few, "id")
+    if states and vectors_of is not None:
+        out = out.join(vectors_of.select("id", *states), "id", "left")
     # a row a query
     out = out.join(F.broadcast(queries.select("query_id", F.coalesce("intent", F.lit("GENERAL")).alias("intent"), *(["tokens"] if with_tokens else []))), "query_id")
     if not with_tokens:
@@ -101,10 +190,10 @@ def hits(found: DataFrame, tried: DataFrame) -> DataFrame:
     return x.select(*BY, "id", "path", "start_line", "end_line", "score", "rank")
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 10, **setting: object) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int = 10, vectors_of: DataFrame | None = None, **setting: object) -> DataFrame:
     """ranking.search for every row of queries (see features): query_id, id, path, start_line, end_line, score, confidence, rank."""
     one = settings(chunks.sparkSession, {"one": setting | {"k": k}})
-    out = ranking.calibrate(hits(features(chunks, queries, config.candidates(k), int(setting.get("stage1", config.STAGE1))), one), by=("query_id",))
+    out = ranking.calibrate(hits(features(chunks, queries, config.candidates(k), int(setting.get("stage1", config.STAGE1)), vectors_of), one), by=("query_id",))
     return out.select("query_id", "id", "path", "start_line", "end_line", F.col("calibrated").alias("score"), "confidence", "rank")
 
 

@@ -120,7 +120,7 @@ _SQL_OF_CASES = f"WITH {_CASES}, " + _hits_sql("('one', 200, 40, 20, 0.5::DOUBLE
 def eval_search(spark: SparkSession, d: str) -> DataFrame:
     """The evaluation over real searches: all cases from one pass, without reranking, 20 hits each."""
     queries, cases = _case_rows(spark, d, False)
-    hits = many.search(fx.with_vectors(spark, d), queries, 20).select(F.col("query_id").alias("case_id"), "path", "rank")
+    hits = many.search(fx.chunks(spark, d), queries, 20, fx.vectors_of(spark, d)).select(F.col("query_id").alias("case_id"), "path", "rank")
     out = evaluate.cases(hits, cases.withColumnRenamed("query_id", "case_id"))
     return out.select("case_id", F.col("rank").cast("long").alias("rank"), F.round("rr", 9).alias("rr"), "found", "recalled")
 
@@ -151,10 +151,9 @@ _LATE = """cfe AS (SELECT cfo.*, c.path, c.content, c.start_line, c.end_line, c.
 def rank_sweep(spark: SparkSession, d: str) -> DataFrame:
     """A grid of settings over the candidates of all cases, kept once."""
     queries, cases = _case_rows(spark, d, True)
-    m = vectors.token_rows(F.col("embedding").cast("array<double>"), 16)
-    v = _vectors(spark, d).select((F.col("vec_id") * 1000).alias("id"), F.col("embedding").alias("vector"), m.alias("rows"), vectors.pooled(m, 16).alias("pooled"))
-    chunks = fx.chunks(spark, d).join(v, "id", "left")
-    out = many.sweep(many.features(chunks, queries, 500), many.settings(spark, _SETTINGS), cases)
+    m = vectors.token_rows(F.col("vector").cast("array<double>"), 16)
+    v = fx.vectors_of(spark, d).select("id", "vector", m.alias("rows"), vectors.pooled(m, 16).alias("pooled"))
+    out = many.sweep(many.features(fx.chunks(spark, d), queries, 500, vectors_of=v), many.settings(spark, _SETTINGS), cases)
     return out.withColumns({"mrr": F.round("mrr", 9), "recall": F.round("recall", 9)})
 
 

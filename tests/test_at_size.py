@@ -5,8 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberlode.operators import many, ranking
 from emberlode.plans import ORACLE_SQL, QUERIES
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("name, column", [("l2_normalize", "unit"), ("pooled_vector", "pooled"), ("cosine", "cosine")])
 def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path, name, column):
@@ -25,3 +28,33 @@ def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path, name, column):
         assert got[i].tolist() == want.tolist() and np.signbit(got[i]).tolist() == np.signbit(want).tolist()
         zeros += ((want == 0) & np.signbit(want)).sum()
     assert zeros
+
+
+def test_texts_are_not_shuffled_to_find_candidates(spark):
+    """With a join that can't be broadcast, only ids and vectors move; the texts stay where they are read."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("hybrid_search_rerank_off", "calibrate", "min_score"):
+            df = QUERIES[name](spark, SF)
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "LeftOuter" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bm25_of_many_brings_k_rows_a_task(spark, monkeypatch):
+    """What leaves the scan is k rows a query and task, however many documents have the terms; ties with the k-th go by id."""
+    monkeypatch.setattr(many, "SLICE", 7)
+    docs = spark.range(0, 400, 1, 4).select("id", F.concat(F.lit("The common "), F.repeat(F.lit("word "), (F.col("id") % 3).cast("int")), F.lit("zz")).alias("content"))
+    queries = spark.createDataFrame([(i, ["COMMON", "word", "common", "none"]) for i in range(5)] + [(8, []), (9, ["absent"])], "query_id long, terms array<string>")
+    out = many.bm25(docs, "id", "content", queries, 6)
+    want = [(r["id"], round(r["score"], 12)) for r in ranking.bm25(docs, "id", "content", ["common", "word", "none"], 6).collect()]
+    got = out.collect()
+    assert {r["query_id"] for r in got} == set(range(5))
+    for i in range(5):
+        assert [(r["id"], round(r["score"], 12)) for r in sorted(got, key=lambda r: (-r["score"], r["id"])) if r["query_id"] == i] == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and "Join" not in plan
+    named = many.bm25(docs.select(F.concat(F.lit("k"), "id").alias("id"), "content"), "id", "content", queries.select(F.concat(F.lit("q"), "query_id").alias("query_id"), "terms"), 2).collect()
+    assert len(named) == 10 and {r["query_id"] for r in named} == {f"q{i}" for i in range(5)}
