@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 Embed = Callable[[list[str]], np.ndarray]
 BATCH, ATTEMPTS, IN_FLIGHT = 32, 3, 16
+#: Texts whose token matrices are made before they leave the worker.
+MATRICES = 256
 #: Tokens of a text that the dense vector sees, of a late-interaction query and of a document.
 DENSE_LEN, QUERY_LEN, DOC_LEN = 256, 32, 512
 
@@ -186,13 +188,14 @@ def token_columns(df: DataFrame, text: str, make: Callable[[], TokenModel]) -> D
     """df with colbert, colbert_scale, pooled and doc_token_ids: the token matrices of its texts, in one Arrow stage.
 
     The model is made once a task and asked in batches of like length, so padding is
-    short. Null is an empty text; it has the rows of its marks.
+    short. MATRICES texts are held at a time, so a worker's memory follows these and not
+    Arrow's batch. Null is an empty text; it has the rows of its marks.
     """
     names = df.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for b in batches:
+        for b in (b.slice(i, MATRICES) for b in batches for i in range(0, len(b), MATRICES)):
             texts = [t or "" for t in b.column(names.index(text)).to_pylist()]
             ids = [token_ids(x, False, model.cls, model.doc, model.sep, model.mask, doc_len=DOC_LEN) for x in model.tokenise(texts)]
             out: list = [None] * len(ids)

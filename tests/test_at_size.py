@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlode.operators import many, ranking
 from emberlode.plans import ORACLE_SQL, QUERIES
+from emberlode.sources import providers
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +59,15 @@ def test_bm25_of_many_brings_k_rows_a_task(spark, monkeypatch):
     assert "MapInArrow" in plan and "Aggregate" not in plan and "Join" not in plan
     named = many.bm25(docs.select(F.concat(F.lit("k"), "id").alias("id"), "content"), "id", "content", queries.select(F.concat(F.lit("q"), "query_id").alias("query_id"), "terms"), 2).collect()
     assert len(named) == 10 and {r["query_id"] for r in named} == {f"q{i}" for i in range(5)}
+
+
+def test_token_matrices_are_made_a_few_at_a_time(spark):
+    """However large Arrow's batches are, a worker holds the matrices of MATRICES texts; null and empty texts and the order of rows stay."""
+    class Counting(providers.HashedStates):
+        def tokenise(self, texts):
+            assert len(texts) <= 256
+            return super().tokenise(texts)
+
+    df = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 10 != 3, F.concat(F.lit("w"), F.col("id"))).alias("t"))
+    got = providers.token_columns(df, "t", lambda: Counting(8)).collect()
+    assert [r["id"] for r in got] == list(range(1000)) and {len(r["doc_token_ids"]) for r in got} == {3, 4}
