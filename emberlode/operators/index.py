@@ -2,8 +2,8 @@
 
     listing -> files that differ -> read once -> definitions or windows -> anchor -> vectors -> segment
 
-Each build writes what is new or changed as a segment: chunks sorted by path and
-numbered, posting blocks, symbols, and vectors by cells, none of which is changed later. What left is
+Each build writes what is new or changed as a segment: chunks dealt and sorted by path
+and numbered, a file's side by side in one part, posting blocks, symbols, and vectors by cells, none of which is changed later. What left is
 named by (segment, number). Segments of like size are merged, and those of which a
 fifth has left are rewritten, so a build's work follows what changed. A version
 (store.Store) names the segments that count.
@@ -11,11 +11,13 @@ fifth has left are rewritten, so a build's work follows what changed. A version
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Callable, Iterator
 from contextlib import nullcontext
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from ..sources import providers
 from . import chunking, code, fulltext, graph, ranking, symbols, sync
 from .store import Store
 
-#: Bytes of content for each task that writes a segment, and for each folder of terms or symbols.
-TASK_BYTES, FOLDER_BYTES, MOST_FOLDERS = 64 << 20, 64 << 20, 4096
+#: Bytes of content for each task that makes a segment, and for each folder of terms or symbols.
+TASK_BYTES, FOLDER_BYTES, MOST_FOLDERS = 16 << 20, 64 << 20, 4096
+#: Of all files, which are read a few times and are most of an index's disk.
+ZSTD = {"compression": "zstd"}
 #: Segments of a tier (a power of ten of chunks) that are merged, and the share that has left at which one is rewritten.
 MERGE, LEFT = 8, 0.2
 CHUNKS = (
@@ -41,8 +45,12 @@ CHUNKS = (
     "imports array<string>, exports array<string>, role string, parent_symbol string, file_skeleton string"
 )
 COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
+#: Texts that a chunk's row has over again: its own, and those of the chunks beside it. They are not stored.
+AGAIN = ("display_text", "context_prev", "context_next")
+KEPT = ", ".join(c for c in CHUNKS.split(", ") if c.split()[0] not in AGAIN)
 #: A chunk in a segment: its number there, the number of its terms, and the folder of its part.
-STORED = CHUNKS + ", segment string, doc long, n_terms int, part int"
+PLACE = "segment string, doc long, n_terms int, part int"
+STORED = f"{KEPT}, {PLACE}"
 FILES = "path string, hash string, mtime_ms double, size bigint, indexed boolean"
 #: A segment's vectors, by the cell of their nearest pivot; a segment has about the root of its chunks of these, within bounds.
 VECTORS = "segment string, doc long, vector array<float>, radius double, cell int"
@@ -76,6 +84,11 @@ def neighbours(chunks: DataFrame, text: str = "display_text") -> DataFrame:
     return chunks.withColumns({"context_prev": F.coalesce(F.lag(text).over(w), F.lit("")), "context_next": F.coalesce(F.lead(text).over(w), F.lit(""))})
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """CHUNKS rows of KEPT rows that have all chunks of their files, or at least those beside the ones asked for."""
+    return neighbours(rows.withColumn("display_text", F.col("content"))).select(*COLUMNS, *[c for c in rows.columns if c not in COLUMNS])
+
+
 def doc_role(path: Column, role: Column) -> Column:
     """Prose files are DOCS, whatever their chunks are."""
     return F.when(paths.is_doc(path), "DOCS").otherwise(role)
@@ -165,7 +178,8 @@ class Index:
         return self._living(self._read("chunks", STORED))
 
     def chunks(self) -> DataFrame:
-        return self.stored().select(*COLUMNS)
+        """The chunks table. Who asks for a chunk's neighbours has its texts dealt by path once."""
+        return _whole(self.stored()).select(*COLUMNS)
 
     def files(self) -> DataFrame:
         """What the last build knew of the files."""
@@ -173,21 +187,20 @@ class Index:
         return self.spark.read.schema(FILES).parquet(self.store.at(name)) if name else self.spark.createDataFrame([], FILES)
 
     def fetch(self, keys: DataFrame) -> DataFrame:
-        """STORED rows of keys(segment, doc), a few thousand at most: reads the parts that hold them alone."""
+        """CHUNKS rows and their place of keys(segment, doc), a few thousand at most: reads the parts that hold them alone."""
         few = [(r["segment"], r["doc"]) for r in keys.select(*fulltext.KEY).collect()]
         out = self.spark.createDataFrame([], STORED)
         for s in self.version["segments"]:
             mine = sorted({d >> 33 for name, d in few if name == s["name"]})
             if mine:
                 out = out.unionByName(self._read("chunks", STORED, [s]).where(F.col("part").isin(mine)))
-        return out.join(F.broadcast(self.spark.createDataFrame(few, "segment string, doc long")), fulltext.KEY, "left_semi")
+        rows = lambda some: F.broadcast(self.spark.createDataFrame(some, "segment string, doc long"))
+        beside = sorted({(name, d + i) for name, d in few for i in (-1, 0, 1)})
+        return _whole(out.join(rows(beside), fulltext.KEY, "left_semi")).join(rows(few), fulltext.KEY, "left_semi")
 
-    def _in_folders(self, kind: str, schema: str, bucket) -> DataFrame:
-        """Rows of a kind from the folders that bucket(number of folders of a segment) lists."""
-        out = self.spark.createDataFrame([], schema)
-        for s in self.version["segments"]:
-            out = out.unionByName(self._read(kind, schema + ", bucket int", [s]).where(F.col("bucket").isin(bucket(s["folders"]))).drop("bucket"))
-        return out
+    def _in_folders(self, kind: str, schema: str, bucket, made: Callable[[DataFrame, str], DataFrame] = lambda rows, segment: rows) -> list[DataFrame]:
+        """By segment, made(rows of a kind from the folders that bucket(its number of folders) lists, its name)."""
+        return [made(self._read(kind, schema + ", bucket int", [s]).where(F.col("bucket").isin(bucket(s["folders"]))).drop("bucket"), s["name"]) for s in self.version["segments"]]
 
     def _buckets(self, values: list[str]) -> Callable[[int], list[int]]:
         """Folder numbers of a few values."""
@@ -196,17 +209,26 @@ class Index:
         return lambda n: sorted({h % n for h in hashes})
 
     def postings(self, terms: list[str]) -> DataFrame:
+        """fulltext.POSTINGS of terms, without lens."""
         terms = list(dict.fromkeys(t.lower() for t in terms))
-        return self._in_folders("postings", fulltext.POSTINGS, self._buckets(terms)).where(F.col("term").isin(terms))
+        rows = self._in_folders("postings", fulltext.PACKED, self._buckets(terms), fulltext.unpacked)
+        empty = self.spark.createDataFrame([], fulltext.POSTINGS).drop("lens")
+        return reduce(DataFrame.unionByName, [r.where(F.col("term").isin(terms)) for r in rows], empty)
+
+    def lengths(self) -> DataFrame:
+        """fulltext.LENGTHS of all segments, with their segment."""
+        made = [self._read("lengths", fulltext.LENGTHS, [s]).withColumn("segment", F.lit(s["name"])) for s in self.version["segments"] if s["postings"]]
+        return reduce(DataFrame.unionByName, made, self.spark.createDataFrame([], fulltext.LENGTHS + ", segment string"))
 
     def entries(self, symbol: str) -> DataFrame:
         """Living symbol entries of one symbol, from its folders."""
-        return self._living(self._in_folders("symbols", symbols.ENTRIES, self._buckets([symbol])).where(F.col("symbol") == symbol))
+        rows = self._in_folders("symbols", symbols.ENTRIES, self._buckets([symbol]))
+        return self._living(reduce(DataFrame.unionByName, rows, self.spark.createDataFrame([], symbols.ENTRIES)).where(F.col("symbol") == symbol))
 
     def text_hits(self, terms: list[str], k: int, allowed: DataFrame | None = None, first: int = fulltext.FIRST) -> tuple[DataFrame, dict[str, int]]:
         """((segment, doc, score) of the documents that reach the k-th best BM25 score, counts of blocks)."""
         stats = self.version["stats"]
-        return fulltext.top_k(self.postings(terms), terms, k, stats["docs"], stats["terms"], self.gone, self._gone("terms", GONE_TERMS), allowed, first)
+        return fulltext.top_k(self.postings(terms), terms, k, stats["docs"], stats["terms"], self.gone, self._gone("terms", GONE_TERMS), allowed, first, self.lengths())
 
     def bm25(self, terms: list[str], k: int) -> DataFrame:
         """(id, score) of the best k, by falling score, then id; of equals at the k-th place, the first by segment and number."""
@@ -344,18 +366,30 @@ def _tasks(content_bytes: int) -> int:
     return max(1, math.ceil(content_bytes / TASK_BYTES))
 
 
-def _write_segment(store: Store, rows: DataFrame, content_bytes: int) -> dict | None:
-    """A new segment of CHUNKS rows (written once, so that nothing is made again); None if there are none."""
+def _dealt(rows: DataFrame, content_bytes: int, *order: str) -> DataFrame:
+    """Rows of files by path, a file's in one task."""
+    return rows.repartitionByRange(_tasks(content_bytes), "path").sortWithinPartitions("path", *order)
+
+
+def _freed(spark: SparkSession) -> None:
+    """Let the driver free the shuffle files of finished jobs, before the next ones need as much disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _write_segment(store: Store, rows: DataFrame, content_bytes: int, spent: str | None = None) -> dict | None:
+    """A new segment of KEPT rows that are dealt (each made once, where its text is); None if there are none.
+
+    spent: a folder that rows are made from and nothing else needs, which goes as soon as they are written.
+    """
     name, spark = store.new("segment"), store.spark
-    raw = store.at(f"{name}/raw")
-    rows.write.parquet(raw)
-    rows = spark.read.schema(CHUNKS).parquet(raw)
-    dealt = rows.repartitionByRange(_tasks(content_bytes), "path", "chunk_index").sortWithinPartitions("path", "chunk_index")
-    dealt = dealt.select("*", F.lit(name).alias("segment"), F.monotonically_increasing_id().alias("doc"), F.size(ranking.tokens(F.col("content"))).alias("n_terms"))
+    dealt = rows.select(*[c.split()[0] for c in KEPT.split(", ")], F.lit(name).alias("segment"), F.monotonically_increasing_id().alias("doc"), F.size(ranking.tokens(F.col("content"))).alias("n_terms"))
     dealt = dealt.withColumn("part", F.shiftright("doc", 33).cast("int"))
-    dealt.sortWithinPartitions("part", "doc").write.partitionBy("part").parquet(store.at(f"{name}/chunks"))
+    dealt.sortWithinPartitions("part", "doc").write.options(**ZSTD).partitionBy("part").parquet(store.at(f"{name}/chunks"))
+    if spent:
+        store.delete(spent)
+    _freed(spark)
     made = spark.read.schema(STORED).parquet(store.at(f"{name}/chunks"))
-    store.delete(f"{name}/raw")
     s = made.agg(F.count(F.lit(1)).alias("docs"), F.sum("n_terms").alias("terms"), F.max(F.size("defined_symbols")).alias("d"), F.max(F.size("referenced_symbols")).alias("r")).first()
     if not s["docs"]:
         store.delete(name)
@@ -364,12 +398,14 @@ def _write_segment(store: Store, rows: DataFrame, content_bytes: int) -> dict |
     out = {"name": name, "docs": s["docs"], "terms": s["terms"] or 0, "bytes": content_bytes, "folders": folders, "gone": 0, "postings": bool(s["terms"]), "symbols": bool((s["d"] or 0) + (s["r"] or 0))}
     if out["postings"]:
         fulltext.write(fulltext.blocks(made), store.at(f"{name}/postings"), _tasks(content_bytes), folders)
+        fulltext.lengths(made).write.options(**ZSTD).parquet(store.at(f"{name}/lengths"))
+        _freed(spark)
     around = pivots.pick(made, "doc", "vector", max(1, min(MOST_PIVOTS, math.isqrt(s["docs"]))))
     out["vectors"] = bool(len(around))
     if out["vectors"]:
         spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(around)], "cell int, vector array<double>").write.parquet(store.at(f"{name}/pivots"))
         rows = pivots.celled(made.where("vector is not null").select("segment", "doc", "vector"), "vector", around)
-        rows.repartitionByRange(_tasks(content_bytes), "cell", "doc").write.partitionBy("cell").parquet(store.at(f"{name}/vectors"))
+        rows.repartitionByRange(_tasks(content_bytes), "cell", "doc").write.options(**ZSTD).partitionBy("cell").parquet(store.at(f"{name}/vectors"))
         pivots.cells(spark.read.schema(VECTORS).parquet(store.at(f"{name}/vectors"))).write.parquet(store.at(f"{name}/cells"))
     if out["symbols"]:
         symbols.write(symbols.entries(made), store.at(f"{name}/symbols"), _tasks(content_bytes // 4), folders)
@@ -418,7 +454,7 @@ def _build(store: Store, source, staging: str, embed, dim: int, tokens, reset: b
     old = Index(store, base)
     if dry_run or reset or not store.whole(base):
         old = Index(store, base | {"files": None, "segments": [], "gone": [], "stats": {"docs": 0, "terms": 0}})
-    put = lambda df, name: (df.write.parquet(store.at(f"{staging}/{name}")), spark.read.schema(df.schema).parquet(store.at(f"{staging}/{name}")))[1]
+    put = lambda df, name: (df.write.options(**ZSTD).parquet(store.at(f"{staging}/{name}")), spark.read.schema(df.schema).parquet(store.at(f"{staging}/{name}")))[1]
     cached = old.files()
     listed = put(source.listing(spark, store.at(f"{staging}/walk")), "listing")
     same = (F.col("l.mtime_ms") == F.col("c.mtime_ms")) & (F.col("l.size") == F.col("c.size"))
@@ -445,6 +481,7 @@ def _build(store: Store, source, staging: str, embed, dim: int, tokens, reset: b
         return out
     if not old.version["segments"] and base["segments"]:
         base = base | {"segments": [], "gone": [], "stats": {"docs": 0, "terms": 0}}
+    _freed(spark)
     segments, gone, stats = list(base["segments"]), list(base["gone"]), dict(base["stats"])
     if segments and not away.isEmpty():
         lost = put(old.stored().join(away, "path", "left_semi").select("segment", "doc", "path", "n_terms", "content"), "lost")
@@ -452,21 +489,26 @@ def _build(store: Store, source, staging: str, embed, dim: int, tokens, reset: b
         if by:
             name = store.new("gone")
             lost.select("segment", "doc", "path").write.parquet(store.at(f"{name}/docs"))
-            lost.select("segment", F.explode(F.array_distinct(ranking.tokens(F.col("content")))).alias("term")).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n")).write.parquet(store.at(f"{name}/terms"))
+            lost.select("segment", F.explode(F.array_distinct(ranking.tokens(F.col("content")))).alias("term")).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n")).write.options(**ZSTD).parquet(store.at(f"{name}/terms"))
             gone.append({"name": name, "segments": sorted(by)})
             segments = [s | {"gone": s["gone"] + (by[s["name"]]["n"] if s["name"] in by else 0)} for s in segments]
             stats = {"docs": stats["docs"] - sum(r["n"] for r in by.values()), "terms": stats["terms"] - sum(r["terms"] for r in by.values())}
+        store.delete(f"{staging}/lost")
+        _freed(spark)
     if fresh:
-        rows = chunk_files(got.join(changed, "path", "left_semi").select("path", "content", "hash"), embed, dim, tokens)
-        size = got.join(changed, "path", "left_semi").agg(F.sum("size")).first()[0] or 0
-        made = _write_segment(store, rows, int(size))
+        size = int(state.where("what in ('new', 'changed')").agg(F.sum("size")).first()[0] or 0)
+        # where none was touched, all that could be read is to be indexed, and no text is joined
+        texts = got.join(changed, "path", "left_semi") if n.get("touched") else got.where("state = 'ok'")
+        rows = chunk_files(_dealt(texts.select("path", "content", "hash"), size), embed, dim, tokens)
+        made = _write_segment(store, rows, size, f"{staging}/contents")
         if made:
             segments.append(made)
             stats = {"docs": stats["docs"] + made["docs"], "terms": stats["terms"] + made["terms"]}
     while old_ones := due(segments):
         names = {s["name"] for s in old_ones}
         view = Index(store, base | {"segments": old_ones, "gone": [g for g in gone if names & set(g["segments"])]})
-        made = _write_segment(store, view.chunks(), sum(s["bytes"] for s in old_ones))
+        size = sum(s["bytes"] for s in old_ones)
+        made = _write_segment(store, _dealt(view.stored().drop(*[c.split()[0] for c in PLACE.split(", ")]), size, "chunk_index"), size)
         segments = [s for s in segments if s["name"] not in names] + ([made] if made else [])
     live = {s["name"] for s in segments}
     gone = [g for g in gone if live & set(g["segments"])]

@@ -26,7 +26,7 @@ def entries(chunks: DataFrame) -> DataFrame:
 
 def write(made: DataFrame, where: str, tasks: int, buckets: int) -> None:
     rows = made.withColumn("bucket", symbol_bucket(F.col("symbol"), buckets))
-    rows.repartitionByRange(tasks, "bucket", "symbol", "kind", "path", "start_line").sortWithinPartitions("bucket", "symbol", "kind", "path", "start_line").write.partitionBy("bucket").parquet(where)
+    rows.repartitionByRange(tasks, "bucket", "symbol", "kind", "path", "start_line").sortWithinPartitions("bucket", "symbol", "kind", "path", "start_line").write.option("compression", "zstd").partitionBy("bucket").parquet(where)
 
 
 def having(made: DataFrame, symbol: str, kind: str) -> DataFrame:

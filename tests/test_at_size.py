@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberlode.operators import fulltext, many, ranking
+from emberlode.operators import fulltext, index, many, ranking
 from emberlode.plans import ORACLE_SQL, QUERIES
 from emberlode.sources import providers
 
@@ -88,3 +88,42 @@ def test_blocks_are_packed_where_they_are_read(spark, monkeypatch):
     hits, counts = fulltext.top_k(made, ["aa", "c"], 5, 90, sum(n for _, _, _, n in {(None, d, None, n) for _, d, _, n in got}), first=1)
     best = [(r["id"], round(r["score"], 12)) for r in ranking.bm25(docs.drop("id").withColumnRenamed("doc", "id"), "id", "content", ["aa", "c"], 5).collect()]
     assert [(r["doc"], round(r["score"], 12)) for r in hits.orderBy(F.desc("score"), "doc").limit(5).collect()] == best and counts["read"] <= counts["ranges"]
+
+
+def test_an_index_stores_a_text_once(spark, tmp_path, monkeypatch):
+    """Display text and neighbours are made when they are asked for, in a segment that was rewritten as well; lengths are stored once a document, and searches equal the scan."""
+    monkeypatch.setattr(index, "TASK_BYTES", 5000)
+    monkeypatch.setattr(index, "FOLDER_BYTES", 15000)
+    files = spark.range(0, 30, 1, 2).select(F.concat(F.lit("d/"), "id", F.lit(".md")).alias("path"), F.repeat(F.concat(F.lit("common word"), F.col("id") % 7, F.lit("\n")), (F.col("id") * 20).cast("int")).alias("content"))
+    source = lambda rows: rows.select("path", "content", F.sha2("content", 256).alias("hash"), F.length("content").cast("double").alias("mtime_ms"), F.octet_length("content").cast("long").alias("size"))
+    root = str(tmp_path / "i")
+    index.build(spark, root, source(files))
+    index.build(spark, root, source(files.withColumn("content", F.when(F.col("path").contains("1"), F.concat("content", F.lit("rare more"))).otherwise(F.col("content")))))
+    now = index.open_index(spark, root)
+    assert len(now.version["segments"]) == 2 and {s["gone"] for s in now.version["segments"]} == {0}
+    for s in now.version["segments"]:
+        stored = spark.read.parquet(now.store.at(f"{s['name']}/chunks")).columns
+        assert not {"display_text", "context_prev", "context_next"} & set(stored) and "lens" not in spark.read.parquet(now.store.at(f"{s['name']}/postings")).columns
+    rows = sorted((r for r in now.chunks().collect()), key=lambda r: (r["path"], r["chunk_index"]))
+    assert len({r["path"] for r in rows}) == 30 and len(rows) > 150
+    for before, r, after in zip([None, *rows], rows, [*rows[1:], None]):
+        beside = lambda x, r=r: x["content"] if x and x["path"] == r["path"] else ""
+        assert (r["display_text"], r["context_prev"], r["context_next"]) == (r["content"], beside(before), beside(after))
+    by, some = {r["id"]: r for r in rows}, now.stored().where("chunk_index = 1 and path like '%2.md'").select("segment", "doc")
+    got = now.fetch(some).collect()
+    assert len(got) == some.count() > 1 and all(r[c] == by[r["id"]][c] for r in got for c in index.COLUMNS)
+    hits, _ = now.text_hits(["rare", "word3"], 40, first=1)
+    have = [(r["id"], round(r["score"], 9)) for r in hits.join(now.stored().select("segment", "doc", "id"), ["segment", "doc"]).orderBy(F.desc("score"), "id").limit(40).collect()]
+    assert have == [(r["id"], round(r["score"], 9)) for r in ranking.bm25(now.stored(), "id", "content", ["rare", "word3"], 40).collect()]
+
+
+def test_postings_are_shuffled_in_bundles(spark, monkeypatch):
+    """A task sends one row a folder's file for BUNDLE bytes of postings, and all postings come back."""
+    docs = spark.range(0, 3000, 1, 2).select(F.lit("s").alias("segment"), F.col("id").alias("doc"), F.concat_ws(" ", F.lit("a"), F.concat(F.lit("w"), F.col("id") % 50), F.concat(F.lit("x"), "id")).alias("content"))
+    rows = fulltext.blocks(docs).withColumn("file", fulltext.term_bucket(F.col("term"), 3))
+    made = fulltext.bundled(rows, "file")
+    assert made.count() == 6 and rows.count() > 3000
+    key = lambda r: (r["term"], r["docs"][0])
+    assert sorted(fulltext.unbundled(made, rows).collect(), key=key) == sorted(rows.collect(), key=key)
+    monkeypatch.setattr(fulltext, "BUNDLE", 1)
+    assert sorted(fulltext.unbundled(fulltext.bundled(rows, "file"), rows).collect(), key=key) == sorted(rows.collect(), key=key)
